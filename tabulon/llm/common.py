@@ -40,3 +40,8 @@ def held_out(doc_id: Column) -> Column:
 
 def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def within_share(place: Column, share: float) -> Column:
+    """True for about ``share`` of all 64-bit hashes."""
+    return place <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
