@@ -45,3 +45,9 @@ def whole_text(text: Column) -> Column:
 def within_share(place: Column, share: float) -> Column:
     """True for about ``share`` of all 64-bit hashes."""
     return place <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()

@@ -237,17 +237,11 @@ def decontaminate(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no benchmark window occurs in, with all their columns."""
+    """The rows of ``docs`` that no benchmark window occurs in, with all their columns.
+
+    Contaminated rows are found again by a 64-bit hash of id and text.
+    """
     names = docs.columns
-    carried = docs.select(F.monotonically_increasing_id().alias("_row"), *names)
-    hit = (
-        decontaminate(carried.select("doc_id", "text"), benchmark)
-        .where("contaminated")
-        .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
-        .distinct()
-    )
-    return (
-        carried.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .join(hit, "_id", "left_anti")
-        .select(*names)
-    )
+    key = F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key")
+    hit = decontaminate(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_key"))
+    return docs.select(*names, key).join(hit, "_key", "left_anti").select(*names)

@@ -216,6 +216,17 @@ class Network:
         return total / np.maximum(count, 1)[:, None]
 
 
+    def judge(self, texts: list[bytes], lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the best language of each text (one past the last: undetermined) and its pooled probability."""
+        none = len(self.langs)
+        if not none or not texts:
+            return np.full(len(texts), none), np.zeros(len(texts))
+        pooled = self.pooled(texts)
+        score = np.minimum(pooled.max(1), 1.0)
+        best = np.where(lettered & (score > 0), pooled.argmax(1), none)
+        return best, np.where(best < none, score, 0.0)
+
+
 def _sample(batches: Iterator[pa.RecordBatch], per_doc: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"lang": [], "place": [], "data": [], "size": []}
@@ -268,14 +279,9 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array([*shared.value.langs, UNDETERMINED], object)
-            if len(langs) == 1 or not batch.num_rows:
-                best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            else:
-                pooled = shared.value.pooled([t or b"" for t in batch.column(2).to_pylist()])
-                best, score = pooled.argmax(1), pooled.max(1)
-                lettered = batch.column(3).to_numpy(zero_copy_only=False)
-                best = np.where(lettered & (score > 0), best, len(langs) - 1)
-                score = np.where(best < len(langs) - 1, np.minimum(score, 1.0), 0.0)
+            best, score = shared.value.judge(
+                [t or b"" for t in batch.column(2).to_pylist()], batch.column(3).to_numpy(zero_copy_only=False)
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(langs[best], pa.string()), pa.array(score)],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -289,5 +295,32 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     ).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+#: A document whose best language has a lower pooled probability than this is rejected.
+MIN_SCORE = 0.5
+
+
+def identified(docs: DataFrame, network: Network | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns; nothing is shuffled.
+
+    Texts without letters and texts whose best language stays below ``min_score`` are rejected.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(network or train(docs))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = shared.value.langs
+            best, score = shared.value.judge(
+                [t or b"" for t in batch.column(len(names)).to_pylist()],
+                batch.column(len(names) + 1).to_numpy(zero_copy_only=False),
+            )
+            stays = pa.array((best < len(known)) & (score >= min_score))
+            yield batch.select(list(range(len(names)))).filter(stays)
+
+    return docs.select(
+        *names, F.col("text").cast("binary").alias("_bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    ).mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))

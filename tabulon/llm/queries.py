@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat, decontamination, exact_dedup, html_extract, jaccard_join, language_id, sharding, toxicity
+from tabulon.llm import chat, decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, piece_codec, sharding, toxicity
 from tabulon.llm.common import read
 
 
@@ -86,6 +86,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.document_digests(read(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.decode(piece_codec.encode(read(spark, sf_dir, "documents"))).select(
+        "doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -96,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_html_extraction": op7_html_extraction,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 

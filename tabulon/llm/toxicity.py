@@ -3,7 +3,7 @@
 Features of a text are the presence of its words, its pairs of neighbouring words and its pairs with one word
 between, hashed into ``2**BITS`` buckets. The model is fitted by FTRL-proximal: each coordinate has its own
 learning rate, and the L1 term keeps most weights at exactly zero, so that the fitted model is a short list of
-(bucket, weight) pairs that is broadcast; ``MAX_WEIGHTS`` bounds it (the fit raises its L1 term if need be).
+(bucket, weight) pairs that is broadcast; ``MAX_WEIGHTS`` bounds it.
 
 The fit uses at most about ``MAX_TRAIN`` labelled rows, chosen by a hash of the id; the bound is a parameter.
 Scoring covers every whole text; labels, lang, source and doc_id are not inputs of a score.
@@ -27,7 +27,7 @@ from tabulon.llm.common import held_out, within_share
 
 BITS = 20
 #: Bound on the labelled rows of a fit.
-MAX_TRAIN = 6_000
+MAX_TRAIN = 12_000
 MAX_WEIGHTS = 100_000
 
 #: Features that one training row may bring; longer texts bring the features with the smallest hashes.
@@ -87,9 +87,15 @@ class Model:
 
 
 def fit(
-    labels: list[int], rows: list[np.ndarray], alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4
+    labels: list[int], rows: list[np.ndarray], alpha: float = 0.5, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 4,
+    toxic_weight: float = 3.0,
 ) -> Model:
-    """FTRL-proximal over rows of distinct buckets; the last coordinate is the intercept, without L1."""
+    """FTRL-proximal over rows of distinct buckets; the last coordinate is the intercept, without L1.
+
+    Toxic rows are rare and count ``toxic_weight`` times. The L1 term shrinks where there are few of them, since the
+    gradients that it holds against shrink too.
+    """
+    l1 = min(l1, max(1.0, 0.03 * toxic_weight * sum(labels)))
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     penalty = np.full(size, l1)
@@ -105,13 +111,13 @@ def fit(
         for label, at in zip(labels, rows, strict=True):
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - label
+            g = (p - label) * (toxic_weight if label else 1.0)
             before = n[at]
             z[at] += g - (np.sqrt(before + g * g) - np.sqrt(before)) / alpha * w
             n[at] = before + g * g
     at = np.flatnonzero(np.abs(z[:-1]) > l1)
-    if len(at) > MAX_WEIGHTS:  # a stronger pull towards zero leaves fewer weights
-        return fit(labels, [r[:-1] for r in rows], alpha, beta, l1 * 2, l2, epochs)
+    if len(at) > MAX_WEIGHTS:  # the largest stay
+        at = np.sort(at[np.argsort(-np.abs(weights(at)), kind="stable")[:MAX_WEIGHTS]])
     return Model(at.astype(np.int32), weights(at).astype(np.float32), float(weights(np.array([size - 1]))[0]))
 
 
