@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import special as S
 from tabulon.functions.math import whole
-from tabulon.functions.registry import NA, NUM, function, num
+from tabulon.functions.registry import NA, NUM, function, num, once
 from tabulon.functions.text import shown_number, txt
 from tabulon.functions.vector import vector
 
@@ -58,48 +58,76 @@ _f("BESSELY", _bad_order, (lambda x, n: num(x) <= 0, NUM))(lambda x, n: vector(S
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
-def parts(t) -> tuple[Column, Column]:
-    """Real and imaginary part of a complex text."""
-    t = F.trim(txt(t))
-    body = F.regexp_extract(t, f"^({_NUMBER})?([+-]?(?:(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)?)[ij]$", 1)
-    unit = F.regexp_extract(t, f"^({_NUMBER})?([+-]?(?:(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)?)[ij]$", 2)
-    plain = t.rlike(f"^{_NUMBER}$")
-    # A lone imaginary part such as 4i is matched as the first number with nothing before the unit.
-    lone = ~plain & (unit == "") & (body != "")
-    coefficient = F.when(unit.isin("", "+"), "1").when(unit == "-", "-1").otherwise(unit)
-    re = F.when(plain, t).when(lone | (body == ""), "0").otherwise(body)
-    im = F.when(plain, "0").when(lone, body).otherwise(coefficient)
-    return re.try_cast("double"), im.try_cast("double")
+_IMAGINARY = f"^({_NUMBER})?([+-]?(?:(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)?)[ij]$"
+
+_Pair = tuple[Column, Column]
+
+
+def parsed(t) -> Column:
+    """struct(re, im) of a complex text; null parts where it is none."""
+
+    def split(t: Column) -> Column:
+        body, unit = F.regexp_extract(t, _IMAGINARY, 1), F.regexp_extract(t, _IMAGINARY, 2)
+        plain = t.rlike(f"^{_NUMBER}$")
+        # A lone imaginary part such as 4i is matched as the first number with nothing before the unit.
+        lone = (unit == "") & (body != "")
+        coefficient = F.when(unit.isin("", "+"), "1").when(unit == "-", "-1").otherwise(unit)
+        none = F.lit(None).cast("string")
+        good = plain | t.rlike(_IMAGINARY)
+        re = F.when(~good, none).when(plain, t).when(lone | (body == ""), "0").otherwise(body)
+        im = F.when(~good, none).when(plain, "0").when(lone, body).otherwise(coefficient)
+        return F.struct(re.try_cast("double").alias("re"), im.try_cast("double").alias("im"))
+
+    return once(F.trim(txt(t)), split)
 
 
 def _no_complex(*ts) -> Column:
     out = F.lit(False)
     for t in ts:
-        re, im = parts(t)
-        out = out | re.isNull() | im.isNull() | txt(t).rlike("[IJ]")
+        out = out | ~(txt(t).rlike(_IMAGINARY) | F.trim(txt(t)).rlike(f"^{_NUMBER}$"))
     return out
 
 
 def complex_text(re: Column, im: Column, suffix: str = "i") -> Column:
     """15 significant digits of each part; a part that is zero is left out."""
-    sig = lambda x: F.when(x == 0, 0.0).otherwise(
-        F.round(x * F.pow(F.lit(10.0), 14 - F.floor(F.log10(F.abs(x)))), 0) / F.pow(F.lit(10.0), 14 - F.floor(F.log10(F.abs(x))))
-    )
-    re, im = sig(re), sig(im)
-    unit = F.when(im == 1, "").when(im == -1, "-").otherwise(shown_number(im))
-    plus = F.when((re != 0) & (im > 0), "+").otherwise("")
-    return F.when(im == 0, shown_number(re)).otherwise(F.concat(F.when(re == 0, "").otherwise(shown_number(re)), plus, unit, F.lit(suffix)))
+
+    def digits(x: Column) -> Column:
+        scale = F.pow(F.lit(10.0), 14 - F.floor(F.log10(F.abs(x))))
+        return F.when(x == 0, 0.0).otherwise(F.round(x * scale, 0) / scale)
+
+    def shown(z: Column) -> Column:
+        re, im = z["re"], z["im"]
+        unit = F.when(im == 1, "").when(im == -1, "-").otherwise(shown_number(im))
+        plus = F.when((re != 0) & (im > 0), "+").otherwise("")
+        return F.when(im == 0, shown_number(re)).otherwise(F.concat(F.when(re == 0, "").otherwise(shown_number(re)), plus, unit, F.lit(suffix)))
+
+    rounded = lambda z: F.struct(digits(z["re"]).alias("re"), digits(z["im"]).alias("im"))
+    return once(once(F.struct(re.alias("re"), im.alias("im")), rounded), shown)
 
 
 _f("COMPLEX")(lambda re, im, suffix="i": complex_text(num(re), num(im), suffix))
 _wrong = (lambda *ts: _no_complex(*ts), NUM)
-_f("IMREAL", _wrong)(lambda t: parts(t)[0])
-_f("IMAGINARY", _wrong)(lambda t: parts(t)[1])
-_f("IMABS", _wrong)(lambda t: F.hypot(*parts(t)))
-_f("IMARGUMENT", _wrong)(lambda t: F.atan2(parts(t)[1], parts(t)[0]))
-_f("IMCONJUGATE", _wrong)(lambda t: complex_text(parts(t)[0], -parts(t)[1]))
 
-_Pair = tuple[Column, Column]
+
+def _of(f):
+    """A column of f(re, im), the text parsed once."""
+    return lambda t: once(parsed(t), lambda z: f(z["re"], z["im"]))
+
+
+def _complex(f):
+    """The text of a function of one complex number, given as a pair."""
+    return lambda t: once(parsed(t), lambda z: complex_text(*f((z["re"], z["im"]))))
+
+
+def _complex2(f):
+    return lambda a, b: once(F.struct(parsed(a).alias("a"), parsed(b).alias("b")), lambda z: complex_text(*f((z["a"]["re"], z["a"]["im"]), (z["b"]["re"], z["b"]["im"]))))
+
+
+_f("IMREAL", _wrong)(_of(lambda re, im: re))
+_f("IMAGINARY", _wrong)(_of(lambda re, im: im))
+_f("IMABS", _wrong)(_of(F.hypot))
+_f("IMARGUMENT", _wrong)(_of(lambda re, im: F.atan2(im, re)))
+_f("IMCONJUGATE", _wrong)(_complex(lambda z: (z[0], -z[1])))
 
 
 def _mul(a: _Pair, b: _Pair) -> _Pair:
@@ -135,42 +163,42 @@ def _cosh(z: _Pair) -> _Pair:
     return F.cosh(z[0]) * F.cos(z[1]), F.sinh(z[0]) * F.sin(z[1])
 
 
-
-
-def _one() -> _Pair:
-    return F.lit(1.0), F.lit(0.0)
-
-
-def _each(ts) -> list[_Pair]:
-    return [parts(t) for t in ts]
-
-
-_f("IMSUM", _wrong)(lambda *ts: complex_text(sum((p[0] for p in _each(ts)[1:]), _each(ts)[0][0]), sum((p[1] for p in _each(ts)[1:]), _each(ts)[0][1])))
-_f("IMSUB", _wrong)(lambda a, b: complex_text(parts(a)[0] - parts(b)[0], parts(a)[1] - parts(b)[1]))
-
-
-@_f("IMPRODUCT", _wrong)
-def improduct(*ts) -> Column:
-    out = parts(ts[0])
-    for t in ts[1:]:
-        out = _mul(out, parts(t))
-    return complex_text(*out)
-
-
-_f("IMDIV", _wrong, (lambda a, b: F.hypot(*parts(b)) == 0, NUM))(lambda a, b: complex_text(*_div(parts(a), parts(b))))
-_f("IMPOWER", (lambda t, n: _no_complex(t), NUM))(lambda t, n: complex_text(*_polar(F.pow(F.hypot(*parts(t)), num(n)), F.atan2(parts(t)[1], parts(t)[0]) * num(n))))
-_f("IMSQRT", _wrong)(lambda t: complex_text(*_polar(F.sqrt(F.hypot(*parts(t))), F.atan2(parts(t)[1], parts(t)[0]) / 2)))
-_f("IMEXP", _wrong)(lambda t: complex_text(*_polar(F.exp(parts(t)[0]), parts(t)[1])))
-_zero = (lambda t: F.hypot(*parts(t)) == 0, NUM)
-_f("IMLN", _wrong, _zero)(lambda t: complex_text(*_log(parts(t))))
-_f("IMLOG10", _wrong, _zero)(lambda t: complex_text(*_log(parts(t), 10)))
-_f("IMLOG2", _wrong, _zero)(lambda t: complex_text(*_log(parts(t), 2)))
-for _name, _fn in {"IMSIN": _sin, "IMCOS": _cos, "IMSINH": _sinh, "IMCOSH": _cosh}.items():
-    _f(_name, _wrong)(lambda t, fn=_fn: complex_text(*fn(parts(t))))
-_f("IMTAN", _wrong)(lambda t: complex_text(*_div(_sin(parts(t)), _cos(parts(t)))))
-_f("IMCOT", _wrong, _zero)(lambda t: complex_text(*_div(_cos(parts(t)), _sin(parts(t)))))
-for _name, _fn in {"IMCSC": _sin, "IMSEC": _cos, "IMCSCH": _sinh, "IMSECH": _cosh}.items():
-    _f(_name, _wrong)(lambda t, fn=_fn: complex_text(*_div(_one(), fn(parts(t)))))
+def _inverse(f):
+    return lambda z: _div((F.lit(1.0), F.lit(0.0)), f(z))
+
+
+def _folded(step):
+    def run(*ts) -> Column:
+        pairs = F.array(*map(parsed, ts))
+        total = F.reduce(
+            F.slice(pairs, 2, len(ts)),
+            F.element_at(pairs, 1),
+            lambda a, b: F.struct(*(c.alias(n) for c, n in zip(step((a["re"], a["im"]), (b["re"], b["im"])), ("re", "im"), strict=True))),
+        )
+        return once(total, lambda z: complex_text(z["re"], z["im"]))
+
+    return run
+
+
+_f("IMSUM", _wrong)(_folded(lambda a, b: (a[0] + b[0], a[1] + b[1])))
+_f("IMPRODUCT", _wrong)(_folded(_mul))
+_f("IMSUB", _wrong)(_complex2(lambda a, b: (a[0] - b[0], a[1] - b[1])))
+_f("IMDIV", _wrong, (lambda a, b: _of(F.hypot)(b) == 0, NUM))(_complex2(_div))
+_f("IMPOWER", (lambda t, n: _no_complex(t), NUM))(
+    lambda t, n: once(parsed(t), lambda z: complex_text(*_polar(F.pow(F.hypot(z["re"], z["im"]), num(n)), F.atan2(z["im"], z["re"]) * num(n))))
+)
+_f("IMSQRT", _wrong)(_complex(lambda z: _polar(F.sqrt(F.hypot(*z)), F.atan2(z[1], z[0]) / 2)))
+_f("IMEXP", _wrong)(_complex(lambda z: _polar(F.exp(z[0]), z[1])))
+_zero = (lambda t: _of(F.hypot)(t) == 0, NUM)
+_f("IMLN", _wrong, _zero)(_complex(_log))
+_f("IMLOG10", _wrong, _zero)(_complex(lambda z: _log(z, 10)))
+_f("IMLOG2", _wrong, _zero)(_complex(lambda z: _log(z, 2)))
+for _name, _fn in {
+    "IMSIN": _sin, "IMCOS": _cos, "IMSINH": _sinh, "IMCOSH": _cosh, "IMTAN": lambda z: _div(_sin(z), _cos(z)), "IMSEC": _inverse(_cos), "IMSECH": _inverse(_cosh),
+}.items():
+    _f(_name, _wrong)(_complex(_fn))
+for _name, _fn in {"IMCOT": lambda z: _div(_cos(z), _sin(z)), "IMCSC": _inverse(_sin), "IMCSCH": _inverse(_sinh)}.items():
+    _f(_name, _wrong, _zero)(_complex(_fn))
 
 # -- units ---------------------------------------------------------------------------------------------------------
 

@@ -291,16 +291,21 @@ def decimal(text, radix: int) -> Column:
     return F.conv(text, radix, 10).cast("double")
 
 
-# The Roman numerals.
-_ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+# The Roman letters, and those of one decimal place for each digit as places among (one, five, ten).
+_ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+_ROMAN_DIGITS = ["", "0", "00", "000", "01", "1", "10", "100", "1000", "02"]
+_ROMAN_PLACES = ["IVX", "XLC", "CDM", "M"]
 
 
 @_f("ROMAN", (lambda n: (whole(n) < 0) | (whole(n) > 3999), VALUE))
 def roman(n) -> Column:
     n, parts = whole(n), []
-    for size, letters in _ROMAN:
-        parts.append(F.repeat(F.lit(letters), F.floor(n / size).cast("int")))
-        n = n - F.floor(n / size) * size
+    for place in (3, 2, 1, 0):
+        letters = _ROMAN_PLACES[place]
+        words = [
+            "".join(letters[int(k)] for k in digit) if all(int(k) < len(letters) for k in digit) else "" for digit in _ROMAN_DIGITS
+        ]
+        parts.append(F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.floor(n / 10**place), F.lit(10)) + 1).cast("int")))
     return F.concat(*parts)
 
 
@@ -308,7 +313,7 @@ def roman(n) -> Column:
 def arabic(t) -> Column:
     """A letter before a larger one counts negative."""
     t = F.upper(F.trim(t))
-    worth = F.create_map(*(F.lit(x) for size, letter in _ROMAN if len(letter) == 1 for x in (letter, float(size))))
+    worth = F.create_map(*(F.lit(x) for letter, size in _ROMAN.items() for x in (letter, float(size))))
     values = F.transform(F.split(F.replace(t, F.lit("-"), F.lit("")), ""), lambda c: F.coalesce(F.try_element_at(worth, c), F.lit(0.0)))
     total = F.reduce(
         F.reverse(values),

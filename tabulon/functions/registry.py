@@ -91,3 +91,8 @@ def value(name: str, *args) -> Column:
 
 def cell(name: str, *args) -> Column:
     return F.struct(value(name, *args).alias("value"), error(name, *args).alias("error"))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out a single time, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))

@@ -11,6 +11,42 @@ from tabulon.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+class Later:
+    """Arithmetic on a column that is made when the query is: registering needs no session."""
+
+    def __init__(self, make: Callable[[], Column]) -> None:
+        self.make = make
+
+    def _with(self, f, other):
+        return Later(lambda: f(self.make(), other.make() if isinstance(other, Later) else other))
+
+    def __add__(self, other):
+        return self._with(lambda a, b: a + b, other)
+
+    def __sub__(self, other):
+        return self._with(lambda a, b: a - b, other)
+
+    def __rsub__(self, other):
+        return self._with(lambda a, b: b - a, other)
+
+    def __mul__(self, other):
+        return self._with(lambda a, b: a * b, other)
+
+    def __truediv__(self, other):
+        return self._with(lambda a, b: a / b, other)
+
+    def __mod__(self, other):
+        return self._with(lambda a, b: a % b, other)
+
+
+def later(name: str) -> Later:
+    return Later(lambda: F.col(name))
+
+
+def made(x):
+    return x.make() if isinstance(x, Later) else x
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
