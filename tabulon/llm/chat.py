@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.batches import slices
+
 ESCAPE = "\x1a"
 #: The template's control strings.
 BOS, ROLE_OPEN, ROLE_CLOSE, EOS = "<s>", "[INST]", "[/INST]", "</s>"
@@ -110,7 +112,7 @@ _SCHEMA = (
 def _format(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tokenizer = _tokenizer(path)
     names = ["conv_id", "formatted", "token_ids", "token_begins", "token_ends", "loss_mask"]
-    for batch in batches:
+    for batch in slices(batches):
         ids, convs, begin = batch.column(0), batch.column(1).to_pylist(), 0
         while begin < len(convs):
             rendered, size = [], 0
@@ -156,7 +158,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    for batch in batches:
+    for batch in slices(batches):
         cols: list[list] = [[] for _ in names]
         for i in range(batch.num_rows):
             formatted = batch.column(1)[i].as_py()

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
+from tabulon.llm.batches import slices
 from tabulon.llm.common import cut
 
 WINDOW = 10
@@ -40,7 +41,7 @@ MAX_SHINGLES = 200_000
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """Windows of items: item_id, the words, and the shingle hash at each offset."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: dict[str, list] = {"item_id": [], "win_words": [], "shingles": []}
         for item, text in zip(ids, texts, strict=True):
@@ -100,7 +101,7 @@ class _Finder:
 
 
 def _count(batches: Iterator[pa.RecordBatch], finder: _Finder) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(0).to_pylist()
         seen = []
         for begin, end in wordhash.blocks(texts):
@@ -113,7 +114,7 @@ _PLACE = pa.struct([("token", pa.int64()), ("pos", pa.int64()), ("around_from",
 
 
 def _places(batches: Iterator[pa.RecordBatch], finder: _Finder, window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(2).to_pylist()
         rows, n_words = [], []
         for begin, end in wordhash.blocks(texts):

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
+from tabulon.llm.batches import slices
 from tabulon.llm.common import cut
 from tabulon.llm.components import components
 
@@ -117,7 +118,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         for begin, end in wordhash.blocks(texts):
             hashes, bounds = gram_sets(texts[begin:end])
@@ -135,7 +136,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signature and set of each class; a row whose text isn't of the class it was fetched for is left out."""
-    for batch in batches:
+    for batch in slices(batches):
         texts, wanted = batch.column(1).to_pylist(), batch.column(0).to_pylist()
         for begin, end in wordhash.blocks(texts):
             hashes, bounds = gram_sets(texts[begin:end])
@@ -242,7 +243,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for bucket, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             now = (bucket, member[1], member[2])

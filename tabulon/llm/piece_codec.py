@@ -20,6 +20,7 @@ as a space, as in the format itself, and such a text is reported as not round-tr
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -30,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.batches import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The blank mark of the format.
 BLANK = "▁"
 #: Characters of different stretches that one suffix array indexes.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 18
 LONG = 256
 #: Stretches whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -137,9 +140,16 @@ class Codec:
             bounds.append(low)
         counts = bounds[1] - bounds[0]
         piece = np.repeat(pieces, counts)
-        inside = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        place = order[np.repeat(bounds[0], counts) + inside]
-        key = np.sort((place * (self.longest + 1) + self.lengths[piece]) * len(self.pieces) + piece)
+        # Ranges of the suffix array, one after the other: steps of one with jumps where a range begins.
+        at = np.arange(len(piece))
+        at += np.repeat(bounds[0] - (np.cumsum(counts) - counts), counts)
+        key = order[at]
+        del at
+        key *= self.longest + 1
+        key += self.lengths[piece]
+        key *= len(self.pieces)
+        key += piece
+        key.sort()
         return key // (len(self.pieces) * (self.longest + 1)), key % len(self.pieces)
 
     # -- relaxation -------------------------------------------------------------------------------------------
@@ -286,7 +296,7 @@ def _codec(path: str) -> Codec:
 
 
 #: Characters of text that are encoded together.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -305,7 +315,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for begin, end in _parts(texts):
                 values, bounds = codec.encode_all(texts[begin:end])
@@ -328,6 +338,24 @@ _DECODED = (
 )
 
 
+def _decoded(codec: Codec, doc_ids: pa.Array, texts: list[str], values: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """The rows of ``decode`` for ids that lie one after the other."""
+    rows = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    said = [codec.decode(r) for r in rows]
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array([len(r) for r in rows], pa.int64()),
+            pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said], pa.string()),
+            pa.array([t == o for t, o in zip(said, texts, strict=True)], pa.bool_()),
+            pa.array(said, pa.string()),
+            pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(values[bounds[0] : bounds[-1]], pa.int32())),
+        ],
+        ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "decoded", "ids"],
+    )
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` (doc_id, text, ids) with decoded, the text that the ids spell, and digests of ids and text.
 
@@ -335,27 +363,29 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         codec = _codec(model)
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(2)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            rows = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            said = [codec.decode(r) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(r) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows], pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said], pa.string()),
-                    pa.array([t == o for t, o in zip(said, batch.column(1).to_pylist(), strict=True)], pa.bool_()),
-                    pa.array(said, pa.string()),
-                    lists,
-                ],
-                ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "decoded", "ids"],
-            )
+            bounds = lists.offsets.to_numpy()
+            yield _decoded(codec, batch.column(0), batch.column(1).to_pylist(), lists.values.to_numpy(), bounds)
 
     return encoded.select("doc_id", "text", "ids").mapInArrow(
         run, _DECODED
     )
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one Python step, so that a task holds one worker and one vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model)
+        for batch in slices(batches):
+            texts = batch.column(1)
+            for begin, end in _parts(texts.to_pylist()):
+                part = texts.slice(begin, end - begin).to_pylist()
+                values, bounds = codec.encode_all(part)
+                yield _decoded(codec, batch.column(0).slice(begin, end - begin), part, values, bounds)
+
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    ).mapInArrow(run, _DECODED)

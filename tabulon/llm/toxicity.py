@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
+from tabulon.llm.batches import slices
 from tabulon.llm.common import held_out, within_share
 
 BITS = 20
@@ -51,7 +52,7 @@ def _features(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _train_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """label, order and the distinct buckets of each training text."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column(2).to_pylist():
             found = np.unique(_features(wordhash.words([text]))[1])
@@ -150,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = shared.value.scores(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], ["doc_id", "held_out", "score"])
 
