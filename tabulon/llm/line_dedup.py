@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
+from tabulon.llm.batches import slices
 from tabulon.llm.common import cut
 
 MIN_CHARS = 16
@@ -41,16 +42,35 @@ _SALTS = tuple(np.uint64(x) for x in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9))
 _CHUNK = 1 << 16
 
 
+_tables: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _powers_for(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, kept for the next block."""
+    if ("up", which) not in _tables or len(_tables["up", which]) < n:
+        size = max(n, wordhash.BLOCK_BYTES + 1024)
+        _tables["up", which] = wordhash._powers(_BASES[which], size)
+        _tables["down", which] = wordhash._powers(pow(_BASES[which], -1, 1 << 64), size)
+    return _tables["up", which], _tables["down", which]
+
+
+def _values(codes: np.ndarray, which: int) -> np.ndarray:
+    """A random number for each character; those of the first plane are looked up."""
+    if ("value", which) not in _tables:
+        _tables["value", which] = wordhash.mix(np.arange(0x10000, dtype=np.uint64) + _SALTS[which])
+    if len(codes) and codes.max() >= 0x10000:
+        return wordhash.mix(codes.astype(np.uint64) + _SALTS[which])
+    return _tables["value", which][codes]
+
+
 class _Sums:
     """Prefix sums of a polynomial over the characters of many lines in one row, and powers to compare places."""
 
     def __init__(self, codes: np.ndarray, which: int) -> None:
         n = len(codes) + 1
-        base = _BASES[which]
-        self.up = wordhash._powers(base, n + 1)
-        self.down = wordhash._powers(pow(base, -1, 1 << 64), n + 1)
+        self.up, self.down = _powers_for(which, n + 1)
         self.at = np.zeros(n, np.uint64)
-        np.cumsum(wordhash.mix(codes.astype(np.uint64) + _SALTS[which]) * self.up[: n - 1], out=self.at[1:])
+        np.cumsum(_values(codes, which) * self.up[: n - 1], out=self.at[1:])
 
     def raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Polynomial of characters [a, b), as if it began at place 0."""
@@ -113,18 +133,19 @@ _LINE = "id bigint, line_no int, name bigint, other bigint, n_chars int"
 
 def _lines(batches: Iterator[pa.RecordBatch], halves: bool) -> Iterator[pa.RecordBatch]:
     """id, line number, names and length of every line; with ``halves`` only (key, name) of lines long enough."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         for begin, end in _blocks(texts):
             lines, counts = _split(texts[begin:end])
             codes, begins, ends = _laid_out(lines)
-            name, other, sums = _names(codes, begins, ends)
-            if halves:
-                long = np.flatnonzero(ends - begins >= MIN_CHARS)
-                keys = _halves(sums, begins[long], ends[long])
-                pairs = np.unique(np.stack([keys.ravel(), np.repeat(name[long], 4)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "name"])
+            if halves:  # each line once per block
+                sums, long = _Sums(codes, 0), np.flatnonzero(ends - begins >= MIN_CHARS)
+                name = _finish(sums.raw(begins[long], ends[long]), ends[long] - begins[long])
+                name, at = np.unique(name, return_index=True)
+                keys = _halves(sums, begins[long[at]], ends[long[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(name, 4))], ["key", "name"])
                 continue
+            name, other, _ = _names(codes, begins, ends)
             n = np.array(counts)
             numbers = np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)
             of = pa.array(np.repeat(np.arange(begin, end), n))
@@ -142,8 +163,8 @@ def _lines(batches: Iterator[pa.RecordBatch], halves: bool) -> Iterator[pa.Recor
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines long enough for near matches, with names and text; each once per block."""
-    for batch in batches:
-        texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+    for batch in slices(batches):
+        texts = batch.column(1).to_pylist()
         for begin, end in _blocks(texts):
             lines, _ = _split(texts[begin:end])
             codes, begins, ends = _laid_out(lines)
@@ -154,12 +175,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(name[keep]), pa.array(other[keep]), pa.array([lines[k] for k in keep], pa.string())],
                 ["name", "other", "line"],
             )
-        del ids
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(variant, place, name, place in the order) of each line with one character deleted, and of the line itself."""
-    for batch in batches:
+    for batch in slices(batches):
         lines = batch.column(2).to_pylist()
         for at, line in enumerate(lines):
             codes, begins, ends = _laid_out([line])

@@ -56,11 +56,15 @@ def first_map(sizes: list[tuple[int, int]], n_shards: int = N_SHARDS) -> list[in
     return out
 
 
-def rebalance(shards: list[int], sizes: list[tuple[int, int]], n_shards: int) -> list[int]:
+#: Rebalancing ends when the fullest and the emptiest shard differ by no more than this share of the mean.
+TOLERANCE = 0.02
+
+
+def rebalance(shards: list[int], sizes: list[tuple[int, int]], n_shards: int, tolerance: float = TOLERANCE) -> list[int]:
     """The next version of a map for ``n_shards`` shards and new sizes, with few moves.
 
-    Slots of shards that no longer exist move; then each shard above the mean gives slots, largest that fit
-    first, to the lightest shard, as long as a move narrows the gap.
+    Slots of shards that no longer exist move; then the fullest shard gives slots, largest that fit first, to the
+    emptiest, as long as a move narrows a gap beyond the tolerance.
     """
     out = list(shards)
     loads = [0] * n_shards
@@ -80,6 +84,8 @@ def rebalance(shards: list[int], sizes: list[tuple[int, int]], n_shards: int) ->
     while True:
         low = min(range(n_shards), key=lambda k: (loads[k], k))
         high = max(range(n_shards), key=lambda k: (loads[k], -k))
+        if loads[high] - loads[low] <= tolerance * sum(loads) / n_shards:
+            return out
         room = (loads[high] - loads[low]) / 2
         move = next((s for s in owned[high] if 0 < sizes[s][0] <= room), None)
         if move is None:
