@@ -26,7 +26,7 @@ def _series(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
 
 def exponential(df: DataFrame, value: str, order: str, by: list[str], alpha: float) -> DataFrame:
     """Simple smoothing from the first value on; the same forecast at every horizon."""
-    level = F.reduce(F.slice("_xs", 2, 2**31 - 1), F.element_at("_xs", 1), lambda s, x: s * (1 - alpha) + x * alpha)
+    level = F.reduce(F.slice("_xs", 2, F.size("_xs")), F.element_at("_xs", 1), lambda s, x: s * (1 - alpha) + x * alpha)
     return _series(df, value, order, by).select(*by, level.alias("forecast"))
 
 
@@ -38,7 +38,7 @@ def double_exponential(df: DataFrame, value: str, order: str, by: list[str], alp
         level = alpha * x + (1 - alpha) * (s["level"] + s["trend"])
         return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * s["trend"]).alias("trend"))
 
-    last = F.reduce(F.slice("_xs", 2, 2**31 - 1), start, step)
+    last = F.reduce(F.slice("_xs", 2, F.size("_xs")), start, step)
     return _series(df, value, order, by).select(*by, (last["level"] + horizon * last["trend"]).alias("forecast"))
 
 

@@ -84,3 +84,16 @@ def test_run_statistics_have_closed_forms(spark):
     assert (got.m, got.t, got.p, got.g) == (50.5, 0.5, 50.5, 0.55)
     a, b = (run.simulate(spark, 500, {"x": ("PSINORMAL", 10.0, 2.0)}, {}, partitions=n).agg({"x": "avg"}).first()[0] for n in (1, 7))
     assert math.isclose(a, b, rel_tol=1e-12) and abs(a - 10) < 0.4
+
+
+def test_holt_follows_every_value(spark):
+    from tabulon.operators import forecast
+
+    values = [3.0, 5.0, 4.0, 8.0, 9.0]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "g string, k int, v double")
+    level, trend = values[0], values[1] - values[0]
+    for x in values[1:]:
+        before = level
+        level = 0.4 * x + 0.6 * (level + trend)
+        trend = 0.2 * (level - before) + 0.8 * trend
+    assert math.isclose(forecast.double_exponential(df, "v", "k", ["g"], 0.4, 0.2, 2).first().forecast, level + 2 * trend)
