@@ -7,6 +7,10 @@ numpy by backpropagation through time on a bounded, balanced sample: per languag
 chosen by a hash of the id, with up to ``SEGMENTS_PER_DOC`` segments of each, spread over the text. Prediction
 covers every byte of every text.
 
+Probabilities of languages sum to 1 for noise as well, so ``identified`` also asks how well the pairs of letters of
+a text fit the learned languages, against the same letters in random order. All languages count at every pair, so a
+text that mixes them fits as well as one of a single language.
+
 Defined results: ``und`` with score 0 for a text that is null or has no letter; with nothing to learn from, every
 text is ``und``. A text's score is the pooled probability of its predicted language. Only text and non-null lang of
 documents that are not held out are learned from. Rows that repeat a doc_id are judged one by one.
@@ -35,8 +39,15 @@ MAX_LANGS = 200
 LANES = 2048
 UNDETERMINED = "und"
 
+#: A text is noise if its fit lies below the mean of clean segments by this share of the way to letters in random
+#: order and by this many of their standard deviations at the text's number of letters.
+NOISE_SHARE = 0.75
+NOISE_SIGMAS = 6.0
+
 #: Bytes that belong to letters: A-Z, a-z and everything beyond ASCII.
 _LETTER = np.array([0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 for c in range(256)])
+#: Letters as they count in pairs: small ones, and one space for all the rest.
+_FOLDED = np.array([(c | 0x20 if c < 0x80 else c) if _LETTER[c] else 0x20 for c in range(256)])
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,11 +66,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _letters(part: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return _LETTER[part] & (np.arange(SEGMENT) < size[:, None])
+
+
+def _pairs(part: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the pair (byte before, byte) at all but the first byte of each segment, and where the byte is of a letter."""
+    folded = _FOLDED[part]
+    return folded[:, :-1] * 256 + folded[:, 1:], _letters(part, size)[:, 1:]
+
+
+def _lanes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """At most ``LANES`` segments at a time: (text of each, segments, lengths)."""
+    begin = 0
+    while begin < len(texts):
+        end, lanes = begin, 0
+        while end < len(texts) and (end == begin or lanes < LANES):
+            lanes += -(-len(texts[end]) // SEGMENT)
+            end += 1
+        data, lengths, of = segments(texts[begin:end])
+        for a in range(0, len(data), LANES):
+            yield of[a : a + LANES] + begin, data[a : a + LANES], lengths[a : a + LANES]
+        begin = end
+
+
 class Network:
     """Parameters: byte vectors, gate and candidate weights of both directions, output weights."""
 
     def __init__(self, langs: list[str], seed: int = 7) -> None:
         self.langs = langs
+        self.fit: np.ndarray | None = None  # log probability of each pair of letters; with it, what clean text has
+        self.clean = self.shuffled = self.spread = 0.0
         rng = np.random.default_rng(seed)
         rows = EMBED + HIDDEN + 1  # what a cell sees: byte vector, state, and a constant for the bias
         self.p: dict[str, np.ndarray] = {"embed": rng.normal(0, 0.5, (EMBED, 256))}
@@ -197,25 +234,51 @@ class Network:
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """(text, language): mean probability over the bytes of letters; zeros for a text without letters."""
         total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        begin = 0
-        while begin < len(texts):
-            end, lanes = begin, 0
-            while end < len(texts) and (end == begin or lanes < LANES):
-                lanes += -(-len(texts[end]) // SEGMENT)
-                end += 1
-            data, lengths, of = segments(texts[begin:end])
-            for a in range(0, len(data), LANES):
-                part, size = data[a : a + LANES], lengths[a : a + LANES]
-                weight = (_LETTER[part] & (np.arange(SEGMENT) < size[:, None])).astype(np.float32)
-                at = of[a : a + LANES] + begin
-                if self.langs:
-                    sums = np.einsum("tln,nt->nl", self.position_probabilities(part, size), weight)
-                    for k in range(len(self.langs)):
-                        total[:, k] += np.bincount(at, sums[:, k], len(texts))
-                count += np.bincount(at, weight.sum(1), len(texts))
-            begin = end
+        for at, part, size in _lanes(texts):
+            weight = _letters(part, size).astype(np.float32)
+            if self.langs:
+                sums = np.einsum("tln,nt->nl", self.position_probabilities(part, size), weight)
+                for k in range(len(self.langs)):
+                    total[:, k] += np.bincount(at, sums[:, k], len(texts))
+            count += np.bincount(at, weight.sum(1), len(texts))
         return total / np.maximum(count, 1)[:, None]
 
+    # -- noise ------------------------------------------------------------------------------------------------
+
+    def learn_pairs(self, data: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> None:
+        """Pairs of letters of each language, and the fit of clean segments and of their letters in random order."""
+        pairs, at = _pairs(data, lengths)
+        mixed, lone = np.zeros((256, 256)), []
+        for k in range(len(self.langs)):
+            seen = np.bincount(pairs[target == k][at[target == k]], minlength=1 << 16).reshape(256, 256)
+            single = (seen.sum(0) + 0.5) / (seen.sum() + 128)
+            mixed += (seen + 2 * single) / (seen.sum(1, keepdims=True) + 2)
+            lone.append((seen.sum(1) / max(1, seen.sum()), seen.sum(0) / max(1, seen.sum())))
+        self.fit = np.log(mixed / len(self.langs)).astype(np.float32).ravel()
+        n = at.sum(1)
+        mean = (self.fit[pairs] * at).sum(1) / np.maximum(n, 1)
+        of = [(target == k) & (n > 0) for k in range(len(self.langs))]
+        means = [float(np.average(mean[m], weights=n[m])) for m in of if m.any()]
+        if not means:
+            self.fit = None
+            return
+        self.clean = min(means)
+        table = self.fit.reshape(256, 256).astype(float)
+        self.shuffled = float(np.mean([before @ table @ after for before, after in lone if after.any()]))
+        self.spread = float(np.sqrt(np.average((mean - self.clean) ** 2 * n, weights=n > 0)))
+
+    def noise(self, texts: list[bytes]) -> np.ndarray:
+        """Whether the letters of each text fit none of the languages."""
+        if self.fit is None:
+            return np.zeros(len(texts), bool)
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for at, part, size in _lanes(texts):
+            pairs, letters = _pairs(part, size)
+            total += np.bincount(at, (self.fit[pairs] * letters).sum(1), len(texts))
+            count += np.bincount(at, letters.sum(1), len(texts))
+        n = np.maximum(count, 1)
+        bound = np.minimum(self.clean - NOISE_SHARE * (self.clean - self.shuffled), self.clean - NOISE_SIGMAS * self.spread / np.sqrt(n))
+        return (count > 0) & (total / n < bound)
 
     def judge(self, texts: list[bytes], lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the best language of each text (one past the last: undetermined) and its pooled probability."""
@@ -269,7 +332,9 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc:
         number = {k: i for i, k in enumerate(langs)}
         data = np.frombuffer(b"".join(sample.column("data").to_pylist()), np.uint8).reshape(-1, SEGMENT)
         target = np.array([number[k] for k in sample.column("lang").to_pylist()])
-        network.train(data, sample.column("size").to_numpy().astype(np.int64), target)
+        lengths = sample.column("size").to_numpy().astype(np.int64)
+        network.train(data, lengths, target)
+        network.learn_pairs(data, lengths, target)
     return network
 
 
@@ -296,15 +361,11 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     ).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-#: A document whose best language has a lower pooled probability than this is rejected. Clean texts that mix in
-#: passages of another language come down to 0.35 with four languages, so the bound lies well below.
-MIN_SCORE = 0.2
-
-
-def identified(docs: DataFrame, network: Network | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+def identified(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """The rows of ``docs`` whose language can be told, with all their columns; nothing is shuffled.
 
-    Texts without letters and texts whose best language stays below ``min_score`` are rejected.
+    Texts without letters and texts whose letters fit none of the languages (``Network.noise``) are rejected. Texts of
+    several languages stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network or train(docs))
     names, text = docs.columns, docs.columns.index("text")
@@ -312,11 +373,9 @@ def identified(docs: DataFrame, network: Network | None = None, min_score: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             known = shared.value.langs
-            best, score = shared.value.judge(
-                [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()],
-                batch.column(len(names)).to_numpy(zero_copy_only=False),
-            )
-            stays = pa.array((best < len(known)) & (score >= min_score))
+            texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            lettered = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            stays = pa.array((shared.value.judge(texts, lettered)[0] < len(known)) & ~shared.value.noise(texts))
             yield batch.select(list(range(len(names)))).filter(stays)
 
     return docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")).mapInArrow(run, docs.schema)

@@ -399,6 +399,24 @@ def test_language_id_on_held_out_texts(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(known) - {9001, 9002, 9003}
 
 
+def test_identified_drops_lettered_noise_and_keeps_mixed_texts(spark):
+    rng = random.Random(5)
+    parts = {"en": ["the", "tion", "ing", "er", "and", "ou"], "fr": ["eau", "ment", "qué", "le", "oi", "dans"], "de": ["sch", "ung", "ver", "ein", "der", "ü"], "es": ["ción", "os", "arr", "que", "ado", "lla"]}
+
+    def prose(lang, n):
+        return " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+
+    langs = list(parts)
+    rows = [(i, prose(langs[i % 4], rng.randint(3, 60)), langs[i % 4], "s", 0) for i in range(400)]
+    mixed = [(1000 + i, prose("en", 20) + "\n" + prose("fr", 15) + "\n" + prose("es", 5), "en", "s", 0) for i in range(8)]
+    salad = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(40)) for _ in range(8)]
+    noise = [bytes(rng.randrange(1, 256) for _ in range(300)).decode("latin1") for _ in range(8)]
+    bad = [(2000 + i, x, None, "s", 0) for i, x in enumerate(salad + noise)]
+    df = spark.createDataFrame(rows + mixed + bad, DOCS)
+    kept = {r.doc_id for r in language_id.identified(df).collect()}
+    assert kept == {r[0] for r in rows + mixed}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language_id.Network(["a", "b"])
