@@ -50,7 +50,7 @@ def chisq_test(df: DataFrame, actual: str, expected: str, by: list[str]) -> Data
     """Right tail with one degree of freedom less than there are cells."""
     part = F.pow(F.col(actual) - F.col(expected), 2) / F.col(expected)
     m = df.groupBy(*by).agg(F.sum(part).alias("_x"), (F.count("*") - 1).cast("double").alias("_k"))
-    return m.select(*by, vector(lambda x, k: 1 - S.gammainc(k / 2, x / 2), "_x", "_k").alias("p"))
+    return m.select(*by, vector(lambda x, k: S.gammaincc(k / 2, x / 2), "_x", "_k").alias("p"))
 
 
 def trend(df: DataFrame, y: str, x: str, by: list[str], growth: bool = False, new: DataFrame | None = None) -> DataFrame:

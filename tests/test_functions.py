@@ -139,3 +139,25 @@ def test_names_are_found_without_prefix_or_case():
     assert lookup("_xlfn.stdev.s").name == "STDEV" and lookup("NormSDist").name == "NORM.S.DIST"
     assert all(target in CATALOGUE for target in ALIASES.values())
     assert len(CATALOGUE) >= 395
+
+
+def test_incomplete_gamma_of_large_shapes():
+    import numpy as np
+
+    from tabulon.functions import special
+
+    # At 1e7 degrees of freedom, Q(a, x) of a whole a is the Poisson distribution below a.
+    a = 5_000_000
+    k = np.arange(a - 40_000, a)
+    logs = np.fromiter((math.lgamma(v + 1.0) for v in k), float, len(k))
+    for x in (a - 6000.0, a - 1000.0, float(a), a + 0.5, a + 3000.0, a + 9000.0):
+        upper = np.exp(k * math.log(x) - x - logs).sum()
+        assert math.isclose(special.gammaincc(a, x), upper, rel_tol=1e-6), x
+        assert math.isclose(special.gammainc(a, x), 1 - upper, rel_tol=1e-6, abs_tol=1e-6), x
+    assert math.isclose(special.gammainc(a, a), 0.5 + 1 / (3 * math.sqrt(2 * math.pi * a)), rel_tol=1e-9)
+    assert np.allclose(special.gammainc([1e10, 1e14], [1e10, 1e14]), 0.5, atol=1e-5)
+    # P(a, x) - P(a + 1, x) = x^a exp(-x) / gamma(a + 1), on both sides of the bound between the methods.
+    for a in (999.5, 1000.5):
+        for x in (700.0, 950.0, 1000.0, 1100.0, 1500.0):
+            step = math.exp(a * math.log(x) - x - math.lgamma(a + 1))
+            assert math.isclose(special.gammainc(a, x) - special.gammainc(a + 1, x), step, rel_tol=1e-9, abs_tol=1e-14)

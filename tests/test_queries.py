@@ -97,3 +97,13 @@ def test_holt_follows_every_value(spark):
         level = 0.4 * x + 0.6 * (level + trend)
         trend = 0.2 * (level - before) + 0.8 * trend
     assert math.isclose(forecast.double_exponential(df, "v", "k", ["g"], 0.4, 0.2, 2).first().forecast, level + 2 * trend)
+
+
+def test_hypothesis_tests_use_every_row(spark, monkeypatch):
+    from tabulon.operators import inference
+    from tabulon.plans import load
+
+    sizes, chisq = [], inference.chisq_test
+    monkeypatch.setattr(inference, "chisq_test", lambda df, *args: sizes.append(df.count()) or chisq(df, *args))
+    load().QUERIES["hypothesis_tests"](spark, FOLDER)
+    assert sizes == [spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()]
