@@ -2,11 +2,12 @@
 
 The text of a batch is cut where no piece of the vocabulary can reach across (before a run of blanks that follows
 something else, and around line breaks that occur in no piece); the different stretches are laid end to end and
-indexed by a suffix array, sorted by prefix doubling up to the longest piece. A binary search of every piece finds
-the range of suffixes that begin with it, that is all its occurrences; these are the edges of the lattice, sorted by
-position. Then the lattice is relaxed in the order that the byte-pair model asks for: in each round every stretch
-joins its best-scored adjacent pair (the leftmost among equals) until no pair is a piece. Characters without a piece
-fall back to bytes.
+indexed by a suffix array, sorted by prefix doubling up to the longest piece. A binary search of every piece, several
+characters at a time, finds the range of suffixes that begin with it, that is all its occurrences; these are the edges
+of the lattice, sorted by position. Then the lattice is relaxed in the order that the byte-pair model asks for: in
+each round every stretch joins its best-scored adjacent pair (the leftmost among equals) until no pair is a piece.
+Characters without a piece fall back to bytes. A worker remembers the ids of stretches for two generations: what the
+last one knows moves on when it is met again, and the rest is forgotten with it.
 
 Decoding maps each id to its bytes, turns the blank mark into a space and takes off the one that encoding put first.
 
@@ -39,9 +40,44 @@ BLANK = "▁"
 #: Characters of different stretches that one suffix array indexes.
 INDEX_CHARS = 1 << 18
 LONG = 256
-#: Stretches whose ids a worker remembers.
-REMEMBERED = 100_000
-_NONE = np.iinfo(np.int64).max
+#: Stretches, and their characters, that a worker remembers in one generation; it holds the present and the last one.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 8 << 20
+#: Rank of "no piece"; a rank and a place in a short stretch share 31 bits.
+_NONE = (1 << 23) - 1
+#: Upper bounds of the lengths of stretches that are relaxed together.
+_WIDTHS = (4, 8, 12, 16, 32, 64, LONG)
+
+
+class _Numbers(dict):
+    """Numbers stretches as they are first asked for, and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        n = self[stretch] = len(self)
+        self.fresh.append(stretch)
+        return n
+
+
+class _Generation:
+    """Ids of stretches, one after the other, and where those of each number begin and end."""
+
+    def __init__(self) -> None:
+        self.number = _Numbers()
+        self.flat, self.cuts, self.chars = np.empty(0, np.int32), np.zeros(1, np.int64), 0
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches, one after the other, and how many each has."""
+        begins, sizes = self.cuts[numbers], self.cuts[numbers + 1] - self.cuts[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)], sizes
+
+    def add(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        self.flat = np.concatenate([self.flat, *ids])
+        self.cuts = np.append(self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(sizes)))
 
 
 class Codec:
@@ -61,7 +97,7 @@ class Codec:
         self.pieces, self.ids = [pieces[i] for i in usable], np.array(usable, np.int32)
         scores = np.array([sp.get_score(i) for i in usable])
         levels = np.unique(-scores)
-        self.rank = np.append(np.searchsorted(levels, -scores), np.iinfo(np.int32).max).astype(np.int64)  # last: no piece
+        self.rank = np.append(np.searchsorted(levels, -scores), _NONE).astype(np.int32)  # last: no piece
         self.longest = max(map(len, self.pieces))
         self.content = [
             bytes([int(pieces[i][3:-1], 16)]) if sp.is_byte(i) else b"" if special[i] else pieces[i].replace(BLANK, " ").encode()
@@ -71,32 +107,41 @@ class Codec:
         self.code = np.zeros(0x110000, np.int64)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)  # 0: in no piece
         self.base = len(letters) + 1
+        self.width = 1  # characters in one packed number
+        while self.base ** (2 * self.width) < 1 << 62:
+            self.width *= 2
         self.lengths = np.array([len(p) for p in self.pieces])
-        self.spelled = np.zeros((len(self.pieces), self.longest), np.int64)
+        self.words = -(-self.longest // self.width)
+        spelled = np.zeros((len(self.pieces), self.words * self.width), np.int64)
         for k, p in enumerate(self.pieces):
-            self.spelled[k, : len(p)] = self.code[[ord(c) for c in p]]
+            spelled[k, : len(p)] = self.code[[ord(c) for c in p]]
+        powers = self.base ** np.arange(self.width - 1, -1, -1, dtype=np.int64)
+        #: Each piece in packed numbers, and how many packed numbers begin with the last one's characters.
+        self.packed = spelled.reshape(-1, self.words, self.width) @ powers
+        free = np.clip(self.width * np.arange(1, self.words + 1) - self.lengths[:, None], 0, self.width)
+        self.room = self.base ** free.astype(np.int64)
         apart = "".join(c for c in "\n\t\r" if self.code[ord(c)] == 0)
         alone = f"|[{apart}]" if apart else ""
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             self.stretch = re.compile(f"[^{apart}]+{alone}" if apart else r"(?s:.+)")
         else:
             self.stretch = re.compile(f"{BLANK}*[^{BLANK}{apart}]+|{BLANK}+{alone}")
-        self.forget()
-
-    def forget(self) -> None:
-        """Stretches seen so far, by number, and where the ids of each begin and end."""
-        self.memory: dict[str, int] = {}
-        self.flat, self.cuts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.young, self.old = _Generation(), _Generation()
 
     # -- index ------------------------------------------------------------------------------------------------
 
-    def _suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Places in the order of their next ``longest`` characters, by prefix doubling from as many as one key holds."""
+    def _pack(self, codes: np.ndarray) -> np.ndarray:
+        """The next ``width`` characters of every place as one number."""
         key, width = codes, 1
-        while width < self.longest and self.base ** (2 * width) < 1 << 62:
+        while width < self.width:
             ahead = np.zeros_like(key)
             ahead[:-width] = key[width:]
             key, width = key * self.base**width + ahead, 2 * width
+        return key
+
+    def _suffixes(self, key: np.ndarray) -> np.ndarray:
+        """Places in the order of their next ``longest`` characters, by prefix doubling from the packed ones."""
+        n, width = len(key), self.width
         while True:
             order = np.argsort(key)
             if width >= self.longest:
@@ -106,108 +151,113 @@ class Codec:
             rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
             ahead = np.zeros_like(rank)
             ahead[:-width] = rank[width:] + 1
-            key, width = rank * (len(codes) + 1) + ahead, 2 * width
-
-    def _compare(self, codes: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1: the text at each place, cut to the length of its piece, against the piece."""
-        out = np.zeros(len(at), np.int8)
-        open_ = np.arange(len(at))
-        for k in range(self.longest):
-            open_ = open_[self.lengths[which[open_]] > k]
-            if not len(open_):
-                break
-            a, b = codes[at[open_] + k], self.spelled[which[open_], k]
-            out[open_] = np.sign(a - b)
-            open_ = open_[a == b]
-        return out
+            key, width = rank * (n + 1) + ahead, 2 * width
+
+    def _ranges(self, key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece, the range of suffixes that begin with it: a binary search, one packed number after another."""
+        head = key[order]
+        low = np.searchsorted(head, self.packed[:, 0])
+        high = np.searchsorted(head, self.packed[:, 0] + self.room[:, 0])
+        key = np.concatenate((key, np.zeros(self.longest, np.int64)))
+        for word in range(1, self.words):
+            some = np.flatnonzero((self.lengths > word * self.width) & (low < high))
+            bounds = []
+            for value in (self.packed[some, word], self.packed[some, word] + self.room[some, word]):
+                a, b = low[some], high[some]
+                going = np.arange(len(some))
+                while len(going):
+                    mid = (a[going] + b[going]) >> 1
+                    right = key[order[mid] + word * self.width] < value[going]
+                    a[going[right]] = mid[right] + 1
+                    b[going[~right]] = mid[~right]
+                    going = going[a[going] < b[going]]
+                bounds.append(a)
+            low[some], high[some] = bounds
+        return low, high
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, piece) of every occurrence of every piece, sorted by place and length."""
-        n = len(codes)
-        padded = np.concatenate((codes, np.zeros(self.longest, np.int64)))
-        order = self._suffixes(codes)
-        present = np.zeros(self.base, bool)
-        present[codes] = True
-        pieces = np.flatnonzero(present[self.spelled[:, 0]])
-        bounds = []
-        for least in (0, 1):  # first suffix >= piece, first suffix beyond all that begin with it
-            low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), n)
-            while (going := np.flatnonzero(low < high)).size:
-                mid = (low[going] + high[going]) // 2
-                right = self._compare(padded, order[mid], pieces[going]) < least
-                low[going[right]] = mid[right] + 1
-                high[going[~right]] = mid[~right]
-            bounds.append(low)
-        counts = bounds[1] - bounds[0]
-        piece = np.repeat(pieces, counts)
+        """(place, piece) of every occurrence of every piece, sorted by place."""
+        key = self._pack(codes)
+        order = self._suffixes(key)
+        low, high = self._ranges(key, order)
+        counts = high - low
+        piece = np.repeat(np.arange(len(self.pieces)), counts)
         # Ranges of the suffix array, one after the other: steps of one with jumps where a range begins.
         at = np.arange(len(piece))
-        at += np.repeat(bounds[0] - (np.cumsum(counts) - counts), counts)
-        key = order[at]
-        del at
-        key *= self.longest + 1
-        key += self.lengths[piece]
-        key *= len(self.pieces)
-        key += piece
-        key.sort()
-        return key // (len(self.pieces) * (self.longest + 1)), key % len(self.pieces)
+        at += np.repeat(low - (np.cumsum(counts) - counts), counts)
+        bits = len(self.pieces).bit_length()
+        edge = order[at] << bits | piece
+        edge.sort()
+        return edge >> bits, edge & ((1 << bits) - 1)
 
     # -- relaxation -------------------------------------------------------------------------------------------
 
-    def _relax(self, best: np.ndarray, starts: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Join adjacent symbols of all stretches at once, one pair per stretch and round."""
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(starts):
-            together = sizes[:-1] + sizes[1:]
-            pair = np.full(len(starts), _NONE)
-            ok = np.flatnonzero((of[:-1] == of[1:]) & (together <= self.longest))
-            rank = self.rank[best[starts[ok], together[ok]]]
-            known = rank < np.iinfo(np.int32).max
-            pair[ok[known]] = rank[known] << 32 | ok[known]
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            chosen = np.minimum.reduceat(pair, first)
-            over = np.repeat(chosen == _NONE, np.diff(np.append(first, len(starts))))
-            if over.any():
-                done.append((starts[over], sizes[over], of[over]))
-            at = chosen[chosen != _NONE] & 0xFFFFFFFF
-            sizes[at] += sizes[at + 1]
-            stay = ~over
-            stay[at + 1] = False
-            starts, sizes, of = starts[stay], sizes[stay], of[stay]
-        starts, sizes, of = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(starts, kind="stable")
-        return starts[order], sizes[order], of[order]
-
-    def _relax_long(self, best: np.ndarray, begin: int, end: int) -> tuple[list[int], list[int]]:
+    def _relax(self, best: np.ndarray, size: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Join adjacent symbols of all stretches at once, one pair per stretch and round.
+
+        ``size`` holds the characters of the symbol at each place, 0 where one was joined to an earlier symbol.
+        """
+        width, rows = self.longest + 2, int((ends - begins).max())
+        back = np.arange(-1, len(size) - 1)  # where the symbol before begins
+
+        def rank(at: np.ndarray, together: np.ndarray) -> np.ndarray:
+            return self.rank[best[at * width + np.minimum(together, width - 1)]]
+
+        places = begins + np.arange(rows)[:, None]
+        key = rank(np.minimum(places, len(size) - 1), np.where(places + 1 < ends, 2, width - 1)) << 8
+        key |= np.arange(rows, dtype=np.int32)[:, None]
+        while True:
+            least = key.min(0)
+            live = np.flatnonzero(least < _NONE << 8)
+            if not len(live):
+                return
+            if 2 * len(live) < len(begins):
+                key, begins, ends, least = key[:, live], begins[live], ends[live], least[live]
+                live = np.arange(len(begins))
+            row = least[live] & 255
+            begin, end = begins[live], ends[live]
+            at = begin + row
+            other = at + size[at]
+            key[other - begin, live] = _NONE << 8 | (other - begin)
+            size[at] += size[other]
+            size[other] = 0
+            after = at + size[at]
+            on = after < end
+            back[after[on]] = at[on]
+            together = np.full(len(at), width - 1)
+            together[on] = size[at[on]] + size[after[on]]
+            key[row, live] = rank(at, together) << 8 | row
+            inner = np.flatnonzero(at > begin)
+            before = back[at[inner]]
+            row = before - begin[inner]
+            key[row, live[inner]] = rank(before, size[before] + size[at[inner]]) << 8 | row
+
+    def _relax_long(self, best: np.ndarray, size: np.ndarray, begin: int, end: int) -> None:
         """The same order of joins for one long stretch, with a heap."""
-        rank, longest = self.rank, self.longest
-        after, before = list(range(1, end - begin + 1)), list(range(-1, end - begin - 1))
-        size = [1] * (end - begin)
+        width = self.longest + 2
+        sizes, back = [1] * (end - begin), list(range(-1, end - begin - 1))
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
-            j = after[i]
-            if j < end - begin and size[i] + size[j] <= longest:
-                r = int(rank[best[begin + i, size[i] + size[j]]])
-                if r < np.iinfo(np.int32).max:
-                    heapq.heappush(heap, (r, i, size[i], size[j]))
+            j = i + sizes[i]
+            if j < end - begin and sizes[i] + sizes[j] <= self.longest:
+                r = int(self.rank[best[(begin + i) * width + sizes[i] + sizes[j]]])
+                if r < _NONE:
+                    heapq.heappush(heap, (r, i, sizes[i], sizes[j]))
 
         for i in range(end - begin):
             offer(i)
         while heap:
             _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if size[i] != a or j >= end - begin or size[j] != b:
+            if sizes[i] != a or sizes[i + a] != b:
                 continue
-            size[i], size[j] = a + b, 0
-            after[i] = after[j]
-            if after[i] < end - begin:
-                before[after[i]] = i
+            sizes[i], sizes[i + a] = a + b, 0
+            if i + a + b < end - begin:
+                back[i + a + b] = i
             offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        live = [i for i in range(end - begin) if size[i]]
-        return [begin + i for i in live], [size[i] for i in live]
+            if back[i] >= 0:
+                offer(back[i])
+        size[begin:end] = sizes
 
     def _encode_stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all stretches, one after the other, and how many each has."""
@@ -219,24 +269,22 @@ class Codec:
         codes = self.code[points]
         codes[ends[:-1]] = 0  # between stretches
         place, piece = self._edges(codes)
-        best = np.full((len(codes) + 1, self.longest + 1), len(self.pieces), np.int32)
-        best[place, self.lengths[piece]] = piece
-        inside = np.ones(len(codes), bool)
-        inside[ends[:-1]] = False
-        of = np.repeat(np.arange(len(stretches)), sizes + 1)[: len(codes)]
-        short = sizes <= LONG
-        starts = np.flatnonzero(inside & short[of])
-        parts = []
-        if len(starts):
-            parts.append(self._relax(best, starts, np.ones(len(starts), np.int64), of[starts]))
-        for k in np.flatnonzero(~short):
-            s, z = self._relax_long(best, int(begins[k]), int(ends[k]))
-            parts.append((np.array(s), np.array(z), np.full(len(s), k)))
-        starts, widths, of = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(starts, kind="stable")
-        starts, widths, of = starts[order], widths[order], of[order]
-        found = best[starts, widths]
-        ids = np.append(self.ids, -1)[found]
+        width = self.longest + 2  # the last column: longer than any piece
+        best = np.full(len(codes) * width, len(self.pieces), np.int32)
+        best[place * width + self.lengths[piece]] = piece
+        size = np.ones(len(codes), np.int64)
+        size[ends[:-1]] = 0
+        low = 0
+        for high in _WIDTHS:
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(some):
+                self._relax(best, size, begins[some], ends[some])
+            low = high
+        for k in np.flatnonzero(sizes > LONG):
+            self._relax_long(best, size, int(begins[k]), int(ends[k]))
+        starts = np.flatnonzero(size)
+        of = np.repeat(np.arange(len(stretches)), sizes + 1)[starts]
+        ids = np.append(self.ids, -1)[best[starts * width + size[starts]]]
         counts = np.ones(len(ids), np.int64)
         missing = np.flatnonzero(ids < 0)
         if len(missing):  # characters without a piece, by their bytes
@@ -247,34 +295,47 @@ class Codec:
             ids = out
         return ids, np.bincount(of, counts, len(stretches)).astype(np.int64)
 
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and the bounds of each text's ids."""
-        cut = [self.stretch.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.forget()
-        fresh = list(set(chain.from_iterable(cut)) - self.memory.keys())
-        flat, sizes, begin = [self.flat], [], 0
-        while begin < len(fresh):
+    def _learn(self) -> None:
+        """Ids for the stretches that the present generation has numbered but not encoded.
+
+        Those that the last generation knows are taken over, so that what is frequent is never encoded again.
+        """
+        young, old = self.young, self.old
+        fresh = young.number.fresh
+        young.number.fresh = []
+        known = np.fromiter((old.number.get(s, -1) for s in fresh), np.int64, len(fresh))
+        seen, new = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
+        taken, taken_sizes = old.ids_of(known[seen])
+        ids, sizes = [taken], [taken_sizes]
+        begin = 0
+        while begin < len(new):
             end, size = begin, 0
-            while end < len(fresh) and (end == begin or size < INDEX_CHARS):
-                size += len(fresh[end]) + 1
+            while end < len(new) and (end == begin or size < INDEX_CHARS):
+                size += len(fresh[new[end]]) + 1
                 end += 1
-            ids, counts = self._encode_stretches(fresh[begin:end])
-            flat.append(ids.astype(np.int32))
+            found, counts = self._encode_stretches([fresh[k] for k in new[begin:end].tolist()])
+            ids.append(found.astype(np.int32))
             sizes.append(counts)
             begin = end
-        if fresh:
-            known = len(self.memory)
-            self.memory.update(zip(fresh, range(known, known + len(fresh)), strict=True))
-            self.flat = np.concatenate(flat)
-            self.cuts = np.append(self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(sizes)))
+        # Back into the order of the numbers.
+        where = np.argsort(np.concatenate((seen, new)), kind="stable")
+        loose = _Generation()
+        loose.add(ids, sizes)
+        flat, counts = loose.ids_of(where)
+        young.add([flat], [counts])
+        young.chars += sum(map(len, fresh))
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the bounds of each text's ids."""
+        if len(self.young.number) > REMEMBERED or self.young.chars > REMEMBERED_CHARS:
+            self.young, self.old = _Generation(), self.young
+        cut = [self.stretch.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         n = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
-        begins, sizes_at = self.cuts[at], self.cuts[at + 1] - self.cuts[at]
-        ends = np.cumsum(sizes_at)
-        total = int(ends[-1]) if len(ends) else 0
-        values = self.flat[np.arange(total) + np.repeat(begins - (ends - sizes_at), sizes_at)]
-        return values, np.append(0, ends)[np.append(0, np.cumsum(n))]
+        at = np.fromiter(map(self.young.number.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if self.young.number.fresh:
+            self._learn()
+        values, sizes = self.young.ids_of(at)
+        return values, np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(n))]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         values, bounds = self.encode_all(texts)
@@ -282,7 +343,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         content = self.content
-        said = b"".join([content[i] for i in ids.tolist()])
+        said = b"".join(map(content.__getitem__, ids.tolist()))
         return (said[1:] if said[:1] == b" " else said).decode("utf-8", "replace")
 
 
@@ -333,27 +394,29 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     ).mapInArrow(run, "doc_id bigint, text string, ids array<int>")
 
 
-_DECODED = (
-    "doc_id bigint, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, decoded string, ids array<int>"
-)
+_DIGESTS = "doc_id bigint, n_ids bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+_DECODED = f"{_DIGESTS}, decoded string, ids array<int>"
 
 
-def _decoded(codec: Codec, doc_ids: pa.Array, texts: list[str], values: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+def _decoded(
+    codec: Codec, doc_ids: pa.Array, texts: list[str], values: np.ndarray, bounds: np.ndarray, digests: bool = False
+) -> pa.RecordBatch:
     """The rows of ``decode`` for ids that lie one after the other."""
     rows = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     said = [codec.decode(r) for r in rows]
-    return pa.RecordBatch.from_arrays(
-        [
-            doc_ids,
-            pa.array([len(r) for r in rows], pa.int64()),
-            pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows], pa.string()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said], pa.string()),
-            pa.array([t == o for t, o in zip(said, texts, strict=True)], pa.bool_()),
-            pa.array(said, pa.string()),
-            pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(values[bounds[0] : bounds[-1]], pa.int32())),
-        ],
-        ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "decoded", "ids"],
-    )
+    columns = {
+        "doc_id": doc_ids,
+        "n_ids": pa.array([len(r) for r in rows], pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(r.astype("<i4", copy=False)).hexdigest() for r in rows], pa.string()),
+        "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in said], pa.string()),
+        "round_trip": pa.array([t == o for t, o in zip(said, texts, strict=True)], pa.bool_()),
+    }
+    if not digests:
+        columns["decoded"] = pa.array(said, pa.string())
+        columns["ids"] = pa.ListArray.from_arrays(
+            pa.array(bounds - bounds[0], pa.int32()), pa.array(values[bounds[0] : bounds[-1]], pa.int32())
+        )
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -369,13 +432,14 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             bounds = lists.offsets.to_numpy()
             yield _decoded(codec, batch.column(0), batch.column(1).to_pylist(), lists.values.to_numpy(), bounds)
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(
-        run, _DECODED
-    )
+    return encoded.select("doc_id", "text", "ids").mapInArrow(run, _DECODED)
+
 
+def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """``decode(encode(docs))`` in one Python step, so that a task holds one worker and one vocabulary.
 
-def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``decode(encode(docs))`` in one Python step, so that a task holds one worker and one vocabulary."""
+    With ``digests`` only, decoded and ids stay in the worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
@@ -384,8 +448,8 @@ def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text
             for begin, end in _parts(texts.to_pylist()):
                 part = texts.slice(begin, end - begin).to_pylist()
                 values, bounds = codec.encode_all(part)
-                yield _decoded(codec, batch.column(0).slice(begin, end - begin), part, values, bounds)
+                yield _decoded(codec, batch.column(0).slice(begin, end - begin), part, values, bounds, digests)
 
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).mapInArrow(run, _DECODED)
+    ).mapInArrow(run, _DIGESTS if digests else _DECODED)

@@ -91,9 +91,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.round_trip(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"
-    )
+    return piece_codec.round_trip(read(spark, sf_dir, "documents"), digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -372,11 +372,28 @@ def test_codec_equals_the_library(spark):
             t = texts[r.doc_id] or ""
             assert r.ids == sp.encode(t) and r.n_ids == len(r.ids)
             assert r.decoded == sp.decode(r.ids) and r.round_trip == (t == t.replace("▁", " "))
+    short = piece_codec.round_trip(df, digests=True)
+    assert sorted(map(str, short.collect())) == sorted(map(str, piece_codec.round_trip(df).select(*short.columns).collect()))
     codec = piece_codec.Codec(piece_codec.MODEL)
     long = "xyz" * 400
     assert codec.encode([long])[0].tolist() == sp.encode(long)
 
 
+def test_codec_forgets_by_generation_and_stays_right(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL)
+    monkeypatch.setattr(piece_codec, "REMEMBERED", 60)
+    monkeypatch.setattr(piece_codec, "INDEX_CHARS", 150)
+    codec = piece_codec.Codec(piece_codec.MODEL)
+    rng = random.Random(12)
+    often = ["".join(rng.choice("abcthe") for _ in range(rng.randrange(1, 20))) for _ in range(40)]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(often) if rng.random() < 0.6 else "".join(rng.choices("abcdeé漢", k=rng.randrange(1, 40))) for _ in range(9)) for _ in range(3)]
+        assert [x.tolist() for x in codec.encode(texts)] == [sp.encode(t) for t in texts]
+        assert len(codec.young.number) <= 60 + 3 * 9 and len(codec.old.number) <= 60 + 3 * 9
+
+
 # -- 1 and 2: classifiers ------------------------------------------------------------------------------------------
 
 
