@@ -1,13 +1,14 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared without the blanks around them. A line is dropped when an earlier line, in the order of document
-id and line number, equals it, or is within one edit of it (one character inserted, deleted or replaced; both lines
-of at least ``MIN_CHARS`` characters). The earliest stays. Lines without text are never dropped.
+id and line number, equals it, or is within one edit of it (one character inserted, deleted or replaced). The earliest
+stays. Lines without text are never dropped and take no part.
 
-1. Lines are named by two 64-bit hashes; equal lines meet by name, after a partial minimum in each task.
+1. One pass over the texts names every line by two 64-bit hashes and writes names, places and the keys of step 2 as a
+   table; equal lines meet by name, after a partial minimum in each task.
 2. A lossless screen: of two lines within one edit, the shorter of length m, one half (the first m // 2 characters or
-   the last m - m // 2) is the same. Each line emits the keys of its halves for m and m - 1; only lines that share a
-   key with a different line go on.
+   the last m - m // 2) is the same. Each line has the keys of its halves for m and m - 1; only lines that share a key
+   with a different line go on, and a second pass over the texts fetches them.
 3. Those emit every variant with one character deleted, as a hashed key with the place of the deletion, and
    themselves. Lines with an equal variant *and* place differ in that one character; a line that equals a variant of
    another differs by that deletion. So the earliest of each such group settles all of its members, and no group is
@@ -16,8 +17,9 @@ of at least ``MIN_CHARS`` characters). The earliest stays. Lines without text ar
 
 Hashes of variants are differences of prefix sums of a polynomial, so a line costs time in proportion to its length.
 
-Defined results: a null or empty text has one empty line; a null doc_id comes after all others; rows that repeat a
-doc_id with an equal text repeat its lines and share their verdicts.
+Defined results: a null or empty text has one empty line; a null doc_id comes after all others. Every row is a document
+of its own: rows that repeat a doc_id, or have none, stand in the order of a hash of their texts, and those with equal
+texts in the order in which they were read.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
 from tabulon.llm.batches import slices
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, id_parts, text_hashes, written
 
-MIN_CHARS = 16
+#: Names of lines that are sent to every task; more of them meet the lines in a shuffle.
+SENT_NAMES = 2_000_000
 #: Fixed value: the blanks around a line that do not count.
 BLANKS = " \t\r\x0b\x0c"
 
@@ -128,172 +131,162 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-_LINE = "id bigint, line_no int, name bigint, other bigint, n_chars int"
+#: The place of a line: these columns, in this order, are the order of lines.
+_PLACE = ("no_id", "id", "text_hash", "row", "line_no")
+_PLACE_TYPES = "no_id boolean, id bigint, text_hash bigint, row bigint, line_no int"
+_LINE = f"{_PLACE_TYPES}, name bigint, other bigint, n_chars int, halves array<bigint>"
 
 
-def _lines(batches: Iterator[pa.RecordBatch], halves: bool) -> Iterator[pa.RecordBatch]:
-    """id, line number, names and length of every line; with ``halves`` only (key, name) of lines long enough."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Place, names and length of every line, and the keys of its halves at its first place in a block of texts."""
     for batch in slices(batches):
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(4).to_pylist()
         for begin, end in _blocks(texts):
             lines, counts = _split(texts[begin:end])
             codes, begins, ends = _laid_out(lines)
-            if halves:  # each line once per block
-                sums, long = _Sums(codes, 0), np.flatnonzero(ends - begins >= MIN_CHARS)
-                name = _finish(sums.raw(begins[long], ends[long]), ends[long] - begins[long])
-                name, at = np.unique(name, return_index=True)
-                keys = _halves(sums, begins[long[at]], ends[long[at]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(name, 4))], ["key", "name"])
-                continue
-            name, other, _ = _names(codes, begins, ends)
+            name, other, sums = _names(codes, begins, ends)
+            size = ends - begins
+            at = np.unique(name, return_index=True)[1]
+            at = np.sort(at[size[at] > 0])
+            new = np.zeros(len(lines), np.int32)
+            new[at] = 4
             n = np.array(counts)
             numbers = np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)
             of = pa.array(np.repeat(np.arange(begin, end), n))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(of),
+                    *(batch.column(k).take(of) for k in range(4)),
                     pa.array(numbers.astype(np.int32)),
                     pa.array(name),
                     pa.array(other),
-                    pa.array((ends - begins).astype(np.int32)),
+                    pa.array(size.astype(np.int32)),
+                    pa.ListArray.from_arrays(np.append(0, np.cumsum(new)).astype(np.int32), pa.array(_halves(sums, begins[at], ends[at]).ravel())),
                 ],
-                ["id", "line_no", "name", "other", "n_chars"],
+                [*_PLACE, "name", "other", "n_chars", "halves"],
             )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines long enough for near matches, with names and text; each once per block."""
+    """Names and text of the lines; each once per block."""
     for batch in slices(batches):
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         for begin, end in _blocks(texts):
             lines, _ = _split(texts[begin:end])
+            lines = list(dict.fromkeys(lines))
             codes, begins, ends = _laid_out(lines)
             name, other, _sums = _names(codes, begins, ends)
-            long = np.flatnonzero(ends - begins >= MIN_CHARS)
-            keep = long[np.unique(name[long], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name[keep]), pa.array(other[keep]), pa.array([lines[k] for k in keep], pa.string())],
-                ["name", "other", "line"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(other), pa.array(lines, pa.string())], ["name", "other", "line"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(variant, place, name, place in the order) of each line with one character deleted, and of the line itself."""
+    """Variant, deleted place and place of each line with one character deleted, and of the line itself (-1)."""
     for batch in slices(batches):
-        lines = batch.column(2).to_pylist()
-        for at, line in enumerate(lines):
-            codes, begins, ends = _laid_out([line])
+        lines = batch.column(0).to_pylist()
+        for first, last in _blocks(lines):
+            codes, begins, ends = _laid_out(lines[first:last])
             sums = (_Sums(codes, 0), _Sums(codes, 1))
-            n = len(codes)
-            for a in range(0, n, _CHUNK):  # a very long line goes out in pieces
-                p = np.arange(a, min(n, a + _CHUNK))
-                z = np.zeros(len(p), np.int64)
-                key = [_finish(s.without(z, p, z + n), z + n - 1) for s in sums]
-                where = p.astype(np.int32)
-                if a == 0:  # the line itself
-                    key = [np.append(k, _finish(s.raw(begins, ends), ends)) for k, s in zip(key, sums, strict=True)]
-                    where = np.append(where, np.int32(-1))
-                m = len(where)
+            of_all = np.repeat(np.arange(last - first, dtype=np.int32), ends - begins)
+            for a in (-1, *range(0, len(codes), _CHUNK)):
+                if a < 0:  # the lines themselves
+                    of, where = np.arange(last - first), np.full(last - first, -1, np.int32)
+                    key = [_finish(s.raw(begins, ends), ends - begins) for s in sums]
+                else:
+                    p = np.arange(a, min(len(codes), a + _CHUNK))
+                    of = of_all[p]
+                    z, e = begins[of], ends[of]
+                    key = [_finish(s.without(z, p, e), e - z - 1) for s in sums]
+                    where = (p - z).astype(np.int32)
+                at = pa.array(of + first)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key[0]),
-                        pa.array(key[1]),
-                        pa.array(where),
-                        *(batch.column(k).slice(at, 1).take(pa.array(np.zeros(m, np.int64))) for k in (0, 1, 3, 4)),
-                    ],
-                    ["variant", "variant_b", "place", "name", "other", "id", "line_no"],
+                    [pa.array(key[0]), pa.array(key[1]), pa.array(where), *(batch.column(k).take(at) for k in range(1, 6))],
+                    ["variant", "variant_b", "place", *_PLACE],
                 )
 
 
-_LAST_ID = 2**63 - 1
-
-
-def _order(id_col: str = "id", line_col: str = "line_no") -> Column:
-    """One number in the order of document and line; fixed width keeps aggregations in hash form."""
-    return (F.col(id_col).cast("decimal(20,0)") * F.expr("4294967296BD") + F.col(line_col)).cast("decimal(38,0)")
-
-
-def _order_id(order: Column) -> Column:
-    return F.floor(order / F.expr("4294967296BD")).cast("bigint")
+def near_lines(texts: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, other, earlier): lines that yield to an earlier line within one edit, and its place; verified.
 
-
-def near_lines(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, other, earlier): lines that yield to an earlier line within one edit; verified.
-
-    ``texts`` has id and text; ``names`` has name, other and the first place (``first``) of each distinct line.
+    ``texts`` has text, ``lines`` the columns of ``_LINE``, and ``names`` name, other and the first place (``first``) of
+    each distinct line.
     """
-    keys = texts.mapInArrow(lambda b: _lines(b, True), "key bigint, name bigint")
+    keys = lines.where(F.size("halves") > 0).select(F.explode("halves").alias("key"), "name")
     shared = keys.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("key")
-    chosen = keys.join(shared, "key", "left_semi").select("name").distinct()
-    lines = texts.mapInArrow(_texts, "name bigint, other bigint, line string")
+    chosen = cut(keys.join(shared, "key", "left_semi").select("name").distinct())
+    if chosen.count() <= SENT_NAMES:
+        chosen = F.broadcast(chosen)
+    said = texts.select("text").mapInArrow(_texts, "name bigint, other bigint, line string")
     long = cut(
-        lines.join(chosen, "name", "left_semi")
-        .dropDuplicates(["name", "other"])
-        .join(names, ["name", "other"])
-        .select("name", "other", "line", "first")
-    )
-    placed = long.select(
-        "name", "other", "line", _order_id(F.col("first")).alias("id"), F.pmod("first", F.expr("4294967296BD")).cast("int").alias("line_no")
+        said.join(chosen, "name", "left_semi").dropDuplicates(["name", "other"]).join(names, ["name", "other"])
     )
-    variants = placed.mapInArrow(
-        _variants, "variant bigint, variant_b bigint, place int, name bigint, other bigint, id bigint, line_no int"
-    )
-    who = F.struct(F.col("id"), F.col("line_no"), F.col("name"), F.col("other"))
+    variants = long.select("line", "first.*").mapInArrow(_variants, f"variant bigint, variant_b bigint, place int, {_PLACE_TYPES}")
     itself = F.col("place") == -1
     group = Window.partitionBy("variant", "variant_b")
     same_place = Window.partitionBy("variant", "variant_b", "place")
     found = (
-        variants.withColumn("who", who)
+        variants.withColumn("who", F.struct(*_PLACE))
         .withColumn("whole", F.min(F.when(itself, F.col("who"))).over(group))
         .withColumn("shorter", F.min(F.when(~itself, F.col("who"))).over(group))
         .withColumn("replaced", F.min("who").over(same_place))
         .withColumn("to", F.when(itself, F.col("shorter")).otherwise(F.least("whole", "replaced")))
         .where(F.col("to") < F.col("who"))
-        .groupBy("name", "other")
+        .groupBy("row", "line_no")
         .agg(F.min("to").alias("to"))
+        .select("row", "line_no", "to", F.col("to.row").alias("to_row"), F.col("to.line_no").alias("to_no"))
     )
-    other = long.select(F.col("name").alias("to_name"), F.col("other").alias("to_other"), F.col("line").alias("to_line"))
+    placed = long.select(F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no"), "name", "other", "line")
+    other = placed.select(F.col("row").alias("to_row"), F.col("line_no").alias("to_no"), F.col("line").alias("to_line"))
     return (
-        found.select("name", "other", F.col("to.name").alias("to_name"), F.col("to.other").alias("to_other"), F.col("to.id").alias("to_id"))
-        .join(long.select("name", "other", "line"), ["name", "other"])
-        .join(other, ["to_name", "to_other"])
+        found.join(placed, ["row", "line_no"])
+        .join(other, ["to_row", "to_no"])
         # A hit of levenshtein needs both texts; its third argument ends the work at the bound.
         .where(F.levenshtein("line", "to_line", 1) == 1)
-        .select("name", "other", F.col("to_id").alias("earlier"))
+        .select("name", "other", F.col("to").alias("earlier"))
     )
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line: doc_id, line_no, n_chars, name, other, kept, reason ('', 'equal' or 'near'), yields_to (a doc_id)."""
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID)).alias("id"), F.col(text_col).cast("string").alias("text")
-    )
-    lines = texts.mapInArrow(lambda b: _lines(b, False), _LINE).withColumn("place", _order())
-    names = lines.where("n_chars > 0").groupBy("name", "other").agg(F.min("place").alias("first"))
-    near = near_lines(texts, names)
+def _numbered(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    no_id, whole = id_parts(F.col(id_col))
+    text = F.col(text_col).cast("string")
+    return docs.select(no_id.alias("no_id"), whole.alias("id"), text_hashes(text)[0].alias("text_hash"), row.alias("row"), text.alias("text"))
+
+
+def _verdicts(texts: DataFrame) -> DataFrame:
+    """One row per line of ``_numbered`` texts: doc_id, row, line_no, n_chars, name, other, kept, reason, yields_to."""
+    lines = written(texts.mapInArrow(_lines, _LINE))
+    place = F.struct(*_PLACE)
+    names = lines.where("n_chars > 0").groupBy("name", "other").agg(F.min(place).alias("first"))
+    near = near_lines(texts, lines, names)
     settled = cut(names.join(near, ["name", "other"], "left"))
-    judged = lines.join(settled, ["name", "other"], "left").withColumn(
+    judged = lines.drop("halves").join(settled, ["name", "other"], "left").withColumn(
         "reason",
-        F.when(F.col("n_chars") == 0, "").when(F.col("place") > F.col("first"), "equal").when(F.col("earlier").isNotNull(), "near").otherwise(""),
+        F.when(F.col("n_chars") == 0, "").when(place > F.col("first"), "equal").when(F.col("earlier").isNotNull(), "near").otherwise(""),
     )
-    shown = lambda c: F.when(c < _LAST_ID, c)
+    to = F.when(F.col("reason") == "equal", F.col("first")).when(F.col("reason") == "near", F.col("earlier"))
     return judged.select(
-        shown(F.col("id")).alias("doc_id"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
+        "row",
         "line_no",
         "n_chars",
         "name",
         "other",
         (F.col("reason") == "").alias("kept"),
         "reason",
-        F.when(F.col("reason") == "equal", shown(_order_id(F.col("first")))).when(F.col("reason") == "near", shown(F.col("earlier"))).alias("yields_to"),
+        F.when(~to["no_id"], to["id"]).alias("yields_to"),
     )
 
 
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line: doc_id, row (a number of the document), line_no, n_chars, name, other, kept, reason ('', 'equal'
+    or 'near'), yields_to (a doc_id)."""
+    return _verdicts(_numbered(docs, F.monotonically_increasing_id(), id_col, text_col))
+
+
 def document_digests(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, the numbers of its dropped lines, the documents they yield to, and a digest of
-    the names of the lines that stay, in order."""
+    """One row per row of ``docs``: counts, the numbers of its dropped lines, the documents they yield to, and a digest
+    of the names of the lines that stay, in order."""
     v = line_verdicts(docs)
-    per = v.groupBy("doc_id").agg(
+    per = v.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.count("*").alias("n_lines"),
         F.count_if("kept").alias("n_kept"),
         F.count_if(F.col("reason") == "equal").alias("n_equal"),
@@ -304,22 +297,22 @@ def document_digests(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("line_no", "name", "other")))).alias("stay"),
     )
     named = F.array_join(F.transform("stay", lambda s: F.concat_ws(":", s["name"].cast("string"), s["other"].cast("string"))), ",")
-    return per.withColumn("kept_sha256", F.sha2(named.cast("binary"), 256)).drop("stay")
+    return per.withColumn("kept_sha256", F.sha2(named.cast("binary"), 256)).drop("stay", "row")
+
 
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the dropped lines taken out of each text; a document may be left with an empty text.
 
-def clean_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines taken out of each text; a document may be left with an empty text."""
-    names = docs.columns
+    The rows are numbered in a copy in the shared folder, since a number must mean the same row twice.
+    """
+    copy = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
     dropped = (
-        line_verdicts(docs)
+        _verdicts(_numbered(copy, F.col("row"), f"doc.{id_col}", f"doc.{text_col}"))
         .where("NOT kept")
-        .groupBy(F.coalesce(F.col("doc_id"), F.lit(_LAST_ID)).alias("_id"))
-        .agg(F.collect_set("line_no").alias("_out"))
-    )
-    stays = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_out", i))
-    return (
-        docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST_ID)))
-        .join(dropped, "_id", "left")
-        .withColumn("text", F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-        .select(*names)
+        .groupBy("row")
+        .agg(F.collect_set("line_no").alias("out"))
     )
+    text = F.col(f"doc.{text_col}")
+    stays = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("out", i)), "\n")
+    cleaned = F.when(F.col("out").isNull(), F.col("doc")).otherwise(F.col("doc").withField(text_col, stays))
+    return copy.join(dropped, "row", "left").select(cleaned.alias("doc")).select("doc.*")
