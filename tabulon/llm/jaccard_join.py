@@ -5,7 +5,7 @@ are linked when the Jaccard similarity of their sets is 0.8 or more.
 
 1. Texts with equal sets are one class; everything below works on classes, so copies cost nothing.
 2. A class has ``BANDS * ROWS + CHECKS`` MinHash values. The first ``BANDS * ROWS`` form bands; classes that agree on
-   a whole band share a bucket. A pair at the threshold shares none with probability (1 - 0.8**4)**20 = 2.6e-5.
+   a whole band share a bucket.
 3. Buckets with the same members as one of an earlier band are dropped; each pair belongs to the first band in which
    it agrees, so it is judged once. Large buckets are dealt into tiles: pairs of hashed chunks of bounded size.
 4. In a tile, the ``CHECKS`` further values of each pair are compared step by step; with a uniform prior, the
@@ -15,8 +15,14 @@ are linked when the Jaccard similarity of their sets is 0.8 or more.
    smallest class it hangs together with there: a spanning forest, never all pairs. Components of these forests are
    the near-duplicate groups.
 
+What is lost: a link exactly at the threshold shares no band with probability (1 - 0.8**4)**28 = 3.9e-7 and is dropped
+by one of the six steps with 5.4e-8, together about one in 2.2 million; links of 0.85 are lost with 1.5e-9 (``loss``
+computes both parts).
+
 Defined results: a text without words (or null) is alone: no links, and a class of its own. Rows that repeat a doc_id
-with different texts are judged each by its own text; a null doc_id counts as the largest id, and shows as null.
+with different texts are judged each by its own text. A null doc_id comes after all others; class_id and copy_id are
+null only where all of the class have none. Of rows with equal sets and ids the one with the smallest hash of the text
+stands for them.
 """
 
 from __future__ import annotations
@@ -26,20 +32,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
 from tabulon.llm.batches import slices
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, id_parts, lookup, rest_hash, text_hashes
 from tabulon.llm.components import components
 
 GRAM = 5
 THRESHOLD = 0.8
-BANDS, ROWS, CHECKS, STEP = 20, 4, 48, 8
-TOLERANCE = 1e-6
-#: Members, and bytes of sets, of one chunk; a tile holds two.
-CHUNK_MEMBERS, CHUNK_BYTES = 512, 8 << 20
+BANDS, ROWS, CHECKS, STEP = 28, 4, 48, 8
+TOLERANCE = 1e-8
+#: Members, and bytes of sets, of one chunk; a tile holds two, and compares them a block of members at a time.
+CHUNK_MEMBERS, CHUNK_BYTES, BLOCK_MEMBERS = 2048, 8 << 20, 512
 
 _N = BANDS * ROWS + CHECKS
 _rng = np.random.default_rng(8)
@@ -63,6 +69,19 @@ def least_agreements(threshold: float = THRESHOLD, tolerance: float = TOLERANCE)
     return out
 
 
+def loss(similarity: float) -> tuple[float, float]:
+    """Probabilities that a pair of this similarity shares no band, and that the steps drop it."""
+    dropped, alive = 0.0, {0: 1.0}
+    for least in _LEAST:
+        after: dict[int, float] = {}
+        for m, p in alive.items():
+            for k in range(STEP + 1):
+                after[m + k] = after.get(m + k, 0.0) + p * comb(STEP, k) * similarity**k * (1 - similarity) ** (STEP - k)
+        dropped += sum(p for m, p in after.items() if m < least)
+        alive = {m: p for m, p in after.items() if m >= least}
+    return (1 - similarity**ROWS) ** BANDS, dropped
+
+
 def gram_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct gram hashes of all texts, text by text and sorted within each, and the bounds of each text."""
     w = wordhash.words(texts)
@@ -117,20 +136,42 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return wordhash.mix(acc).view(np.int64)
 
 
+def _keys(nulls: np.ndarray, ids: np.ndarray, hashes: list[np.ndarray]) -> list[bytes]:
+    """Names of rows that order as (id, null last, hashes of the text)."""
+    out = np.empty((len(ids), 25), np.uint8)
+    out[:, 0] = nulls
+    for k, v in enumerate((ids.view(np.uint64) ^ np.uint64(1 << 63), *(h.view(np.uint64) for h in hashes))):
+        out[:, 1 + 8 * k : 9 + 8 * k] = v.astype(">u8")[:, None].view(np.uint8)
+    return [row.tobytes() for row in out]
+
+
+def _key_id(key: Column) -> Column:
+    """The id in a name; null where it has none."""
+    signed = F.conv(F.hex(F.substring(key, 2, 8)), 16, 10).cast("decimal(20,0)") - F.expr("9223372036854775808BD")
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", signed.cast("bigint"))
+
+
+_SEEN = "no_id boolean, id bigint, ha bigint, hb bigint, rest bigint, key binary, fp binary, n_grams bigint, bands array<bigint>"
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [part.strip().split(" ")[0] for part in _SEEN.split(",")]
     for batch in slices(batches):
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(5).to_pylist()
         for begin, end in wordhash.blocks(texts):
+            part = batch.slice(begin, end - begin)
             hashes, bounds = gram_sets(texts[begin:end])
             bands = _bands(signatures(hashes, bounds))
+            nulls, ids, ha, hb = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(begin, end - begin),
+                    *(part.column(k) for k in range(5)),
+                    pa.array(_keys(nulls, ids, [ha, hb]), pa.binary()),
                     pa.array(fingerprints(hashes, bounds), pa.binary()),
                     pa.array(np.diff(bounds)),
                     pa.ListArray.from_arrays(np.arange(len(bands) + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel())),
                 ],
-                ["id", "fp", "n_grams", "bands"],
+                names,
             )
 
 
@@ -176,7 +217,7 @@ def judge(band: int, sig: np.ndarray, grams: list[np.ndarray], left: np.ndarray,
         i, j, agreed = i[stay], j[stay], agreed[stay]
     if not len(i):
         return np.empty((0, 2), np.int64)
-    sizes = np.array([len(g) for g in grams])
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
     li, rj = left[i], right[j]
     if len(i) <= 4 * (len(left) + len(right)):
         shared = np.array([len(np.intersect1d(grams[p], grams[q], assume_unique=True)) for p, q in zip(li, rj, strict=True)])
@@ -206,37 +247,40 @@ def _shared(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, width:
     return out.astype(np.int64)
 
 
+def _blocks(members: np.ndarray) -> list[np.ndarray]:
+    return [members[a : a + BLOCK_MEMBERS] for a in range(0, len(members), BLOCK_MEMBERS)]
+
+
 def _tile(members: list[tuple]) -> list[tuple]:
-    """Rows (fp, linked documents, fp of the root it hangs together with) of one tile."""
+    """Rows (name, linked documents, name of the root it hangs together with) of one tile."""
     band, i, j = members[0][0], members[0][1], members[0][2]
     members = list({m[4]: m for m in members}.values())
     sig = np.stack([np.frombuffer(m[6], np.uint32) for m in members])
     grams = [np.frombuffer(m[7], np.uint64) for m in members]
-    chunk = np.array([m[3] for m in members])
-    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    if not len(left) or not len(right):
-        return []
-    pairs = judge(band, sig, grams, left, right, i == j)
-    if not len(pairs):
-        return []
-    size = np.array([m[5] for m in members])
-    links = np.bincount(pairs[:, 0], size[pairs[:, 1]], len(members)) + np.bincount(pairs[:, 1], size[pairs[:, 0]], len(members))
-    root = np.arange(len(members))
-    while True:
-        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
-        new = root.copy()
-        np.minimum.at(new, pairs[:, 0], low)
-        np.minimum.at(new, pairs[:, 1], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    chunk, size = np.array([m[3] for m in members]), np.array([m[5] for m in members])
+    left, right = _blocks(np.flatnonzero(chunk == i)), _blocks(np.flatnonzero(chunk == j))
+    links, root = np.zeros(len(members)), np.arange(len(members))
+    for p, one in enumerate(left):
+        for q, other in enumerate(right):
+            if i == j and q < p:
+                continue
+            pairs = judge(band, sig, grams, one, other, i == j and p == q)
+            links += np.bincount(pairs[:, 0], size[pairs[:, 1]], len(members)) + np.bincount(pairs[:, 1], size[pairs[:, 0]], len(members))
+            while True:  # hang the higher root of each pair on the lower one
+                a, b = root[pairs[:, 0]], root[pairs[:, 1]]
+                if (a == b).all():
+                    break
+                low = np.minimum(a, b)
+                np.minimum.at(root, a, low)
+                np.minimum.at(root, b, low)
+                while (root[root] != root).any():
+                    root = root[root]
     return [(members[k][4], int(links[k]), members[root[k]][4]) for k in np.flatnonzero(links)]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile; a tile may go over from one batch to the next."""
-    schema = pa.schema([("fp", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+    schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
     held: list[tuple] = []
     key = None
 
@@ -258,27 +302,30 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
 
 
-_LAST_ID = 2**63 - 1
-
+def _named(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: id, two hashes of the text, and a hash of everything else."""
+    no_id, whole = id_parts(F.col(id_col))
+    ha, hb = text_hashes(F.col(text_col))
+    return [no_id.alias("no_id"), whole.alias("id"), ha.alias("ha"), hb.alias("hb"), rest_hash(docs).alias("rest")]
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, copy_id, n_grams.
 
-    ``copy_id`` is the smallest id with an equal set, ``class_id`` the smallest id of the near-duplicate group, and
-    ``n_links`` the number of other documents at the threshold or above.
-    """
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID)).alias("id"), F.col(text_col).cast("binary").alias("text")
-    )
-    seen = cut(texts.mapInArrow(_summaries, "id bigint, fp binary, n_grams bigint, bands array<bigint>"))
-    with_words = seen.where(F.col("fp").isNotNull())
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: its names (``_named``, key), n_grams, and of its class copy, component, n_links."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    seen = cut(docs.select(*_named(docs, id_col, text_col), text).mapInArrow(_summaries, _SEEN))
     classes = cut(
-        with_words.groupBy("fp").agg(
-            F.min("id").alias("copy_id"), F.count("*").alias("size"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
+        seen.where(F.col("fp").isNotNull())
+        .groupBy("fp")
+        .agg(
+            F.min(F.struct("key", "ha", "hb")).alias("rep"),
+            F.count("*").alias("size"),
+            F.first("n_grams").alias("n_grams"),
+            F.first("bands").alias("bands"),
         )
+        .select("fp", "rep.*", "size", "n_grams", "bands")
     )
-    banded = classes.select("fp", "copy_id", "size", "n_grams", F.posexplode("bands").alias("band", "bucket"))
-    buckets = (
+    banded = classes.select("fp", "key", "ha", "hb", "size", "n_grams", F.posexplode("bands").alias("band", "bucket"))
+    buckets = cut(
         banded.groupBy("bucket", "band")
         .agg(
             F.count("*").alias("members"),
@@ -291,74 +338,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min(F.struct("band", "bucket")).alias("one"), F.first("bytes").alias("bytes"))
         .select(
             "one.*",
+            "members",
             F.greatest(F.ceil(F.col("members") / CHUNK_MEMBERS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"),
         )
     )
+    total = classes.count() * BANDS
     members = cut(
-        banded.join(buckets, ["bucket", "band"]).select(
-            "bucket", "band", "chunks", F.pmod(F.xxhash64("fp", F.lit(2)), "chunks").cast("int").alias("chunk"), "fp", "size", "copy_id"
+        lookup(banded, buckets, ["bucket", "band"], "members", total).select(
+            "bucket", "band", "chunks", F.pmod(F.xxhash64("fp", F.lit(2)), "chunks").cast("int").alias("chunk"), "fp", "size", "key", "ha", "hb"
         )
     )
-    wanted = members.select("fp", F.col("copy_id").alias("id")).distinct()
+    wanted = members.select("ha", "hb", "fp").distinct()
+    # Equal texts are one before they are sent, so that many copies of a text travel as one from each task.
+    texts = docs.select(*(c.alias(n) for c, n in zip(text_hashes(F.col(text_col)), ("ha", "hb"), strict=True)), text)
     payload = (
-        texts.join(wanted, "id")
+        texts.dropDuplicates(["ha", "hb"])
+        .join(wanted, ["ha", "hb"])
         .select("fp", "text")
         .mapInArrow(_payloads, "fp binary, sig binary, grams binary")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     found = cut(
         members.join(payload, "fp")
-        .select("bucket", "band", "chunk", "fp", "size", "sig", "grams", other)
+        .select("bucket", "band", "chunk", "key", "size", "sig", "grams", other)
         .select(
             "bucket",
             "band",
             F.least("chunk", "other").alias("i"),
             F.greatest("chunk", "other").alias("j"),
             "chunk",
-            "fp",
+            "key",
             "size",
             "sig",
             "grams",
         )
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_tiles, "fp binary, links bigint, root binary")
-    )
-    groups = components(found, "fp", "root")
-    linked = found.groupBy("fp").agg(F.sum("links").alias("links"))
-    named = (
-        groups.join(classes.select(F.col("fp").alias("node"), "copy_id"), "node")
-        .select("node", "component", "copy_id")
+        .mapInArrow(_tiles, "node binary, links bigint, root binary")
     )
-    heads = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    near = named.join(heads, "component").select(F.col("node").alias("fp"), "class_id")
+    groups = components(found, "node", "root")
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     verdicts = cut(
-        classes.select("fp", "copy_id", "size")
-        .join(near, "fp", "left")
-        .join(linked, "fp", "left")
-        .select("fp", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        classes.select("fp", F.col("key").alias("copy"), "size")
+        .join(groups.withColumnRenamed("node", "copy"), "copy", "left")
+        .join(linked.withColumnRenamed("node", "copy"), "copy", "left")
+        .select("fp", "copy", "size", F.coalesce("component", "copy").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     )
-    shown = lambda c: F.when(c < _LAST_ID, c)
-    return (
-        seen.select("id", "fp", "n_grams")
-        .join(verdicts, "fp", "left")
-        .select(
-            shown(F.col("id")).alias("doc_id"),
-            shown(F.coalesce("class_id", "id")).alias("class_id"),
-            F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-            shown(F.coalesce("copy_id", "id")).alias("copy_id"),
-            "n_grams",
-        )
+    # Rows without words have no class; they meet nothing and keep their own name.
+    worded = lookup(seen.where(F.col("fp").isNotNull()).drop("bands"), verdicts, ["fp"], "size", seen.count())
+    alone = seen.where(F.col("fp").isNull()).drop("bands")
+    return worded.unionByName(
+        alone.select("*", F.col("key").alias("copy"), F.lit(1).cast("bigint").alias("size"), F.col("key").alias("component"), F.lit(0).cast("bigint").alias("n_links"))
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their near-duplicate group, with all their columns."""
-    names = docs.columns
-    verdict = near_duplicates(docs).where("doc_id = class_id OR doc_id IS NULL AND class_id IS NULL")
-    stay = verdict.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")).distinct()
-    return (
-        docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .join(stay, "_id", "left_semi")
-        .select(*names)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, copy_id, n_grams.
+
+    ``copy_id`` is the smallest id with an equal set, ``class_id`` the smallest id of the near-duplicate group, and
+    ``n_links`` the number of other documents at the threshold or above.
+    """
+    return _judged(docs, id_col, text_col).select(
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
+        _key_id(F.col("component")).alias("class_id"),
+        F.col("n_links").cast("bigint").alias("n_links"),
+        _key_id(F.col("copy")).alias("copy_id"),
+        "n_grams",
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, with all its columns: that with the smallest id.
+
+    Rows that agree in id and text are copies of each other, with words or without; the smallest hash of the whole row
+    chooses between them.
+    """
+    names = ["no_id", "id", "ha", "hb"]
+    stay = _judged(docs, id_col, text_col).where("key = component").groupBy(*names).agg(F.min("rest").alias("rest"))
+    named = docs.select(F.struct("*").alias("doc"), *_named(docs, id_col, text_col))
+    # Rows that are equal in every column are one before they are sent.
+    return named.dropDuplicates([*names, "rest"]).join(stay, [*names, "rest"], "left_semi").select("doc.*")

@@ -27,7 +27,12 @@ from tabulon.llm import (
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns that clash with names that the operators use inside.
-EXTRA = ("norm", "row", "score", "vslot", "place", "fp", "line_no", "kept", "content_hash", "shard")
+EXTRA = tuple(
+    """
+    norm row score vslot place fp line_no kept content_hash shard _id _sha _key _lettered _out id no_id ha hb rest key bands copy
+    component size n_links stay doc out dropped first name other lettered sha hit spans items buckets label n_lines inside version
+    """.split()
+)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -107,7 +112,7 @@ def test_empty_tables(spark):
     assert language_id.identify(none).count() == 0
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.toxicity(none, labels).count() == 0
-    assert [r.score for r in toxicity.toxicity(documents(spark, [(1, "a b")]), labels).collect()] == [0.5]
+    assert [r.score for r in toxicity.toxicity(documents(spark, [(1, "a b")]), labels).collect()] < [1e-9]
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.decontaminate(none, bench).count() == 0
     assert decontamination.decontaminate(documents(spark, [(1, "a b")]), bench).first().n_words == 2
@@ -186,6 +191,7 @@ def near(rows):
 @pytest.mark.parametrize("chunk", [512, 5])
 def test_near_duplicates(spark, chunk, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK_MEMBERS", chunk)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", chunk // 2)
     rng = random.Random(2)
     base = [f"w{rng.randrange(300)}" for _ in range(120)]
     rows = corpus()
@@ -199,6 +205,36 @@ def test_near_duplicates(spark, chunk, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {c for _, c, _ in near(rows)}
 
 
+def test_rows_without_ids_and_with_repeated_ids_are_judged_by_their_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    close = long.replace("w30 ", "other ")
+    rows = [(None, long), (None, close), (None, "quite another text that stands alone here"), (7, long), (7, "one"), (7, "one"), (7, "two")]
+    rows += [(None, None), (None, ""), (2**63 - 1, "last"), (-(2**63), "first"), (None, "last")]
+    df = documents(spark, rows)
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard_join.near_duplicates(df).collect())
+    last, least = str(2**63 - 1), str(-(2**63))
+    assert got == sorted(
+        [("None", "7", 2), ("None", "7", 2), ("7", "7", 2), ("None", "None", 0), ("7", "7", 1), ("7", "7", 1), ("7", "7", 0)]
+        + [("None", "None", 0), ("None", "None", 0), (last, last, 1), (least, least, 0), ("None", last, 1)]
+    )
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted(
+        [("7", long), ("None", "quite another text that stands alone here"), ("7", "one"), ("7", "two"), ("None", ""), (last, "last"), (least, "first")]
+    )
+    # Rows that agree in id and text differ elsewhere: the same one stays in any order.
+    twice = documents(spark, [(1, long), (1, long)]).withColumn("n_chars", F.monotonically_increasing_id())
+    one = jaccard_join.one_of_each(twice).first()
+    assert jaccard_join.one_of_each(twice.orderBy(F.desc("n_chars"))).collect() == [one]
+
+
+def test_loss_at_the_threshold():
+    rng = np.random.default_rng(1)
+    assert sum(jaccard_join.loss(0.8)) < 5e-7 and sum(jaccard_join.loss(0.85)) < 1e-8
+    steps = rng.binomial(jaccard_join.STEP, 0.5, (20_000, len(jaccard_join._LEAST))).cumsum(1)
+    assert abs((steps < jaccard_join._LEAST).any(1).mean() - jaccard_join.loss(0.5)[1]) < 0.01
+
+
 def test_posterior_bound_keeps_pairs_at_the_threshold():
     for k, least in enumerate(jaccard_join.least_agreements()):
         n = (k + 1) * jaccard_join.STEP
@@ -254,7 +290,7 @@ def test_line_verdicts(spark):
         first.setdefault(line, (i, k))
     order = sorted(first, key=first.get)
     close = {
-        line: len(line) >= line_dedup.MIN_CHARS and any(len(m) >= line_dedup.MIN_CHARS and within_one(line, m) for m in order[:n])
+        line: bool(line) and any(m and within_one(line, m) for m in order[:n])
         for n, line in enumerate(order)
     }
     expected = {(i, k): "" if not line else "equal" if (i, k) > first[line] else "near" if close[line] else "" for i, k, line in lines}
@@ -266,6 +302,25 @@ def test_line_verdicts(spark):
         assert (cleaned[i] or "") == "\n".join(stay)
 
 
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_lines_of_documents_without_and_with_repeated_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT_NAMES", sent)
+    rows = [(None, "keep me please now ok\nsame line here"), (None, "second unique line of it\nsame line here"), (None, None)]
+    rows += [(5, "abcdefghijklmno\nx"), (5, "abcdefghijklmnp\nzz\nabcdefghijklmnq"), (5, "tail end"), (4, "tail and\n\n")]
+    df = documents(spark, rows)
+    got = Counter((r.text or "").strip("\n") for r in line_dedup.clean_lines(df).collect())
+    assert line_dedup.clean_lines(df).columns == df.columns
+    two = sorted([rows[3][1], rows[4][1]])  # of two rows with one id, the order is that of the hashes of their texts
+    either = [Counter(["abcdefghijklmno\nx", "zz"]), Counter(["x", "abcdefghijklmnp\nzz"])]
+    assert two and any(
+        got == Counter(["", "", "tail and"]) + e + Counter(rest)
+        for e in either
+        for rest in (["keep me please now ok\nsame line here", "second unique line of it"], ["keep me please now ok", "second unique line of it\nsame line here"])
+    )
+    digests = line_dedup.document_digests(df).collect()
+    assert len(digests) == len(rows) and sorted(r.n_lines for r in digests) == [1, 1, 2, 2, 2, 3, 3]
+
+
 # -- 6: sharding ---------------------------------------------------------------------------------------------------
 
 
@@ -289,7 +344,7 @@ def test_sharding(spark):
 def test_rebalancing_moves_little(spark, tmp_path):
     rng = random.Random(6)
     sizes = [(rng.randrange(1, 1000), 1) for _ in range(4096)]
-    one = sharding.first_map(sizes, 16)
+    one = sharding.rebalance(sharding.first_map(4096, 16), sizes, 16)
     two = sharding.rebalance(one, sizes, 17)
     moved = [s for s in range(4096) if one[s] != two[s]]
     assert {two[s] for s in moved} == {16} and len(moved) < 4096 / 17 * 1.5
@@ -304,6 +359,24 @@ def test_rebalancing_moves_little(spark, tmp_path):
     sharding.save_map(sharding.map_frame(spark, two, sizes, 2), path)
     assert [r.shard for r in sharding.load_map(spark, path).orderBy("vslot").collect()] == two
     assert [r.shard for r in sharding.load_map(spark, path, 1).orderBy("vslot").collect()] == one
+    with pytest.raises(Exception, match="already exists"):
+        sharding.save_map(sharding.map_frame(spark, three, sizes, 2), path)
+    # A stored map is edited: the next version, with few moves.
+    df = documents(spark, corpus(100))
+    got = sharding.shard_documents(df, 16, path=path).collect()
+    assert {r.map_version for r in got} == {3} and all(0 <= r.shard < 16 for r in got)
+    stored = [r.shard for r in sharding.load_map(spark, path, 3).orderBy("vslot").collect()]
+    assert all(stored[r.vslot] == r.shard for r in got)
+
+
+def test_slots_spread_rows_without_ids_and_hot_ids(spark):
+    rows = [(None, f"text {k}") for k in range(500)] + [(7, f"other {k}") for k in range(500)]
+    got = sharding.shard_documents(documents(spark, rows)).collect()
+    assert max(Counter(r.vslot for r in got).values()) < 12
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values()) / 16 + 10
 
 
 # -- 4: chat -------------------------------------------------------------------------------------------------------
@@ -350,6 +423,10 @@ LONG = "The cat and the dog were in the house with a friend of the family, and i
         ("<article><p>a<br>b &lt;x&gt; &eacute;&nbsp;&nbsp;z</article><section id='comments'><p>" + LONG + "</section>", "a b <x> é z"),
         ("<article>cut off <b>te", "cut off te"),
         ("<main><form>Name</form><p hidden>h</p><p>yes</p></main><script>open", "yes"),
+        ("<main class='content has-sidebar'><p>Stays.</p><div class='share-buttons'>x</div></main>", "Stays."),
+        ("<div class='social-science-article'><p>" + LONG + "</p></div><div class='site-footer'><p>" + LONG + "</p></div>", LONG.strip()),
+        ("<article><p>Short A.</p><p><a>Read more about it</a></p><p>Short B.</p></article>", "Short A. Short B."),
+        ("<article><p>" + LONG + "</p></article><section><article class=comment><p>" + LONG + "</p></article></section>", LONG.strip()),
     ],
 )
 def test_main_text(page, text):
