@@ -12,8 +12,9 @@ of the window must occur: any one of them is a necessary prefix, and the rarest
    which must lie inside the document (positional bound) and leave room for the window (length bound).
 4. The words of the window are compared one by one. The surviving spans are united per document.
 
-The benchmark goes to the executors in blocks of items with at most ``MAX_SHINGLES`` shingles each, whatever its
-size: the query set is handled block by block against all rows, and the blocks' results are combined.
+The benchmark goes to the executors in blocks of windows with about ``MAX_SHINGLES`` shingles each, whatever its size
+and that of its items: different windows are dealt by a hash, the query set is handled block by block against all
+rows, and the blocks' results are combined.
 
 Defined results: null or wordless texts have no words and are never hit; items without words have no windows;
 items that repeat an item_id count as one item with the windows of both; a null item_id is counted as an item
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
 from tabulon.llm.batches import slices
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, text_hashes
 
 WINDOW = 10
 SHINGLE = 5
@@ -70,7 +71,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int =
     )
     return items.mapInArrow(
         lambda batches: _windows(batches, window, shingle), "item_id string, win_words array<binary>, shingles array<bigint>"
-    )
+    ).dropDuplicates(["item_id", "win_words"])
 
 
 class _Finder:
@@ -138,7 +139,8 @@ def _places(batches: Iterator[pa.RecordBatch], finder: _Finder, window: int) ->
 
 
 def _block_windows(windows: DataFrame, max_shingles: int) -> int:
-    """Into how many blocks the items go; each block's share is then bounded, in expectation and by count of items."""
+    """Into how many blocks the windows go. They are all different and have at most ``WINDOW`` shingles each, so a block
+    strays from its share only by the chance of the hash."""
     total = windows.agg(F.sum(F.size("shingles"))).first()[0] or 0
     return -(-total // max_shingles)
 
@@ -209,6 +211,21 @@ def _covered(spans: Column) -> Column:
     return step["n"]
 
 
+def _judged(rows: DataFrame, windows: DataFrame, n: int, window: int) -> DataFrame:
+    """``rows`` (row, doc_id, text) without text, with n_words, n_hit, items and contaminated; ``windows`` in ``n`` blocks."""
+    found = None
+    for k in range(max(n, 1)):
+        block = windows.where(F.pmod(F.xxhash64("item_id", "win_words"), F.lit(n)) == k) if n > 1 else windows
+        part = contaminated_spans(rows, block, window)
+        found = part if found is None else found.unionByName(part)
+    return (
+        found.groupBy("row", "doc_id", "n_words")
+        .agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+        .select("row", "doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
+        .withColumn("contaminated", F.col("n_hit") > 0)
+    )
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_shingles: int = MAX_SHINGLES
 ) -> DataFrame:
@@ -218,31 +235,28 @@ def decontaminate(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    windows = benchmark_windows(benchmark, window, shingle)
+    windows = cut(benchmark_windows(benchmark, window, shingle))
     n = _block_windows(windows, max_shingles)
     if n > 1:  # the row numbers must stay the same over several passes
         rows = cut(rows)
-    parts = []
-    for k in range(max(n, 1)):
-        block = windows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else windows
-        parts.append(contaminated_spans(rows, block, window))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return (
-        found.groupBy("row", "doc_id", "n_words")
-        .agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-        .select("row", "doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items")
-        .withColumn("contaminated", F.col("n_hit") > 0)
-    )
+    return _judged(rows, windows, n, window)
+
+
+#: Contaminated texts whose hashes are sent to every task; more of them meet the documents in a shuffle.
+SENT_TEXTS = 2_000_000
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, with all their columns.
 
-    Contaminated rows are found again by a 64-bit hash of id and text.
+    The verdict depends on the text alone; contaminated rows are found again by two 64-bit hashes of it.
     """
-    names = docs.columns
-    key = F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key")
-    hit = decontaminate(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_key"))
-    return docs.select(*names, key).join(hit, "_key", "left_anti").select(*names)
+    ha, hb = text_hashes(F.col(text_col))
+    # Equal texts share a name and are judged as one.
+    named = docs.select(hb.alias("row"), ha.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    windows = cut(benchmark_windows(benchmark))
+    judged = _judged(named, windows, _block_windows(windows, MAX_SHINGLES), WINDOW)
+    hit = cut(judged.where("contaminated").select(F.col("doc_id").alias("ha"), F.col("row").alias("hb")))
+    if hit.count() <= SENT_TEXTS:
+        hit = F.broadcast(hit)
+    return docs.select(F.struct("*").alias("doc"), ha.alias("ha"), hb.alias("hb")).join(hit, ["ha", "hb"], "left_anti").select("doc.*")

@@ -54,6 +54,15 @@ DROPPED_NAMES = frozenset(
     social sponsor sponsored subscribe toolbar complementary contentinfo
     """.split()
 )
+#: Words that leave the meaning of a compound name to its other words; the names above are among them.
+PLAIN_NAMES = DROPPED_NAMES | frozenset(
+    """
+    a area back bar block bottom box bread button buttons center container content crumbs cta desktop floating form global
+    group html inner item items left level line link links list main media message mobile module nav network networks of
+    outer overlay page panel placeholder policy post posts primary region right row secondary section side signup site
+    slot small sticky sub tags text the thread title to tool top unit widget widgets wrap wrapper your
+    """.split()
+)
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike"
     " strong sub sup time tt u var wbr".split()
@@ -95,10 +104,13 @@ def _marks_dropped(tag: str, attributes: str) -> bool:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
-    if tag not in ("html", "body"):
+    if tag not in ("html", "body", "main"):
         for m in _NAMED.finditer(attributes):
-            if not DROPPED_NAMES.isdisjoint(_NAME.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = _NAME.findall(name)
+                # A compound counts if all of it names such a part; an article only by a name of its own.
+                if not DROPPED_NAMES.isdisjoint(words) and (len(words) == 1 or tag not in MAIN_TAGS and PLAIN_NAMES.issuperset(words)):
+                    return True
     return bool(_HIDDEN.search(attributes))
 
 
@@ -213,10 +225,10 @@ def second_pass(labels: list[bool | None], mains: list[int]) -> list[bool]:
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     labels = [first_pass(*b) for b in found]
-    # A dropped block decides nothing for its neighbours inside an article: an advert amid text is no sign.
-    usable = [None if b[2] and b[3] else label for b, label in zip(found, labels, strict=True)]
+    # A rejected block decides nothing for its neighbours inside an article: an advert or a link amid text is no sign.
+    usable = [None if b[3] and label is False else label for b, label in zip(found, labels, strict=True)]
     kept = second_pass(usable, [b[3] for b in found])
-    return " ".join(b[0] for b, k in zip(found, kept, strict=True) if k and not b[2])
+    return " ".join(b[0] for b, k, label in zip(found, kept, labels, strict=True) if k and label is not False)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,8 @@
 A text is read as UTF-8 bytes in segments of ``SEGMENT`` bytes. Two gated recurrent layers read each segment, one
 from either end; at every byte both states together give a probability of each language (a label for every
 position), and a document's probabilities are the mean over the bytes of its letters. The network is trained in
-numpy by backpropagation through time on a bounded, balanced sample: per language about ``DOCS_PER_LANG`` documents,
-chosen by a hash of the id, with up to ``SEGMENTS_PER_DOC`` segments of each, spread over the text. Prediction
-covers every byte of every text.
+numpy by backpropagation through time on a bounded, balanced sample: of every language about ``DOCS_PER_LANG``
+documents, each whole, chosen by a hash of id and text. Prediction covers every byte of every text.
 
 Probabilities of languages sum to 1 for noise as well, so ``identified`` also asks how well the pairs of letters of
 a text fit the learned languages, against the same letters in random order. All languages count at every pair, so a
@@ -13,7 +12,8 @@ text that mixes them fits as well as one of a single language.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter; with nothing to learn from, every
 text is ``und``. A text's score is the pooled probability of its predicted language. Only text and non-null lang of
-documents that are not held out are learned from. Rows that repeat a doc_id are judged one by one.
+documents that are not held out are learned from. Rows that repeat a doc_id are judged one by one; those with equal id
+and text are learned from once.
 """
 
 from __future__ import annotations
@@ -26,15 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.batches import slices
-from tabulon.llm.common import held_out, within_share
+from tabulon.llm.common import free_name, held_out
 
 SEGMENT = 64
 EMBED = 8
 HIDDEN = 8
-#: Bounds of the training sample.
+#: Bound of the training sample.
 DOCS_PER_LANG = 300
-SEGMENTS_PER_DOC = 8
-MAX_LANGS = 200
 #: Segments that one step of the network handles together.
 LANES = 2048
 UNDETERMINED = "und"
@@ -167,16 +165,24 @@ class Network:
                 g["embed"][k] += np.bincount(at, dx_all[:, k].ravel(), 256).astype(np.float32)
         return g, loss
 
-    def train(self, data: np.ndarray, lengths: np.ndarray, target: np.ndarray, updates: int = 240, batch: int = 256, rate: float = 0.02) -> list[float]:
-        """Adam; every batch has its segments drawn anew. Returns the loss of each update."""
+    def train(
+        self, data: np.ndarray, lengths: np.ndarray, target: np.ndarray, docs: np.ndarray, updates: int = 240, batch: int = 256, rate: float = 0.02
+    ) -> list[float]:
+        """Adam; every batch is drawn anew: a language, a document of it, a segment of that. Returns the loss of each update.
+
+        The segments of a document lie one after the other; ``docs`` says which document each is of.
+        """
         rng = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        by_lang = [np.flatnonzero(target == k) for k in range(len(self.langs))]
+        first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+        size = np.diff(np.append(first, len(docs)))
+        by_lang = [np.flatnonzero(target[first] == k) for k in range(len(self.langs))]
         losses = []
         for step in range(1, updates + 1):
             langs = rng.integers(0, len(self.langs), batch)
-            rows = np.array([by_lang[k][rng.integers(len(by_lang[k]))] for k in langs])
+            chosen = np.array([by_lang[k][rng.integers(len(by_lang[k]))] for k in langs])
+            rows = first[chosen] + rng.integers(0, size[chosen])
             g, loss = self._gradients(data[rows], lengths[rows], target[rows])
             losses.append(loss)
             norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
@@ -291,49 +297,50 @@ class Network:
         return best, np.where(best < none, score, 0.0)
 
 
-def _sample(batches: Iterator[pa.RecordBatch], per_doc: int) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of each text that have a letter, one after the other, and the length of each."""
     for batch in slices(batches):
-        out: dict[str, list] = {"lang": [], "place": [], "data": [], "size": []}
+        out: dict[str, list] = {"lang": [], "place": [], "data": [], "sizes": []}
         for lang, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data, lengths, _ = segments([text])
-            for i in np.unique(np.linspace(0, len(data) - 1, min(per_doc, len(data))).astype(int)) if len(data) else ():
-                if _LETTER[data[i][: lengths[i]]].any():
-                    for k, v in (("lang", lang), ("place", place), ("data", data[i].tobytes()), ("size", int(lengths[i]))):
-                        out[k].append(v)
+            some = _letters(data, lengths).any(1)
+            if some.any():
+                for k, v in (("lang", lang), ("place", place), ("data", data[some].tobytes()), ("sizes", lengths[some].astype(np.uint8).tobytes())):
+                    out[k].append(v)
         yield pa.RecordBatch.from_pydict(
-            out, pa.schema([("lang", pa.string()), ("place", pa.int64()), ("data", pa.binary()), ("size", pa.int32())])
+            out, pa.schema([("lang", pa.string()), ("place", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary())])
         )
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc: int = SEGMENTS_PER_DOC) -> Network:
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Network:
     rows = docs.select(
         F.col("lang").cast("string").alias("lang"),
-        F.xxhash64(F.col("doc_id").cast("bigint")).alias("place"),
+        F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("place"),
         F.col("text").cast("binary").alias("text"),
         held_out(F.col("doc_id")).alias("held"),
     ).where("NOT held AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return Network([])
-    chosen = F.lit(False)
-    for lang, n in counts:
-        share = min(1.0, docs_per_lang / n)
-        chosen = chosen | ((F.col("lang") == lang) & within_share(F.col("place"), share))
+    # One row per language: the network has weights for each of them, so their number bounds what is sent.
+    share = F.lit(docs_per_lang).cast("double") / F.col("n")
+    quota = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("bigint")).alias("last"))
     sample = (
-        rows.where(chosen)
+        rows.join(F.broadcast(quota), "lang")
+        .where("place <= last")
         .select("lang", "place", "text")
-        .mapInArrow(lambda b: _sample(b, segments_per_doc), "lang string, place bigint, data binary, size int")
-        .toArrow()
-        .sort_by([("lang", "ascending"), ("place", "ascending"), ("data", "ascending")])
+        .dropDuplicates(["lang", "place"])
+        .mapInArrow(_sample, "lang string, place bigint, data binary, sizes binary")
+        .toArrow()  # about ``docs_per_lang`` rows of each language
+        .sort_by([("lang", "ascending"), ("place", "ascending")])
     )
-    langs = sorted(set(sample.column("lang").to_pylist()))
+    names, sizes = sample.column("lang").to_pylist(), sample.column("sizes").to_pylist()
+    langs = sorted(set(names))
     network = Network(langs)
     if langs:
         number = {k: i for i, k in enumerate(langs)}
         data = np.frombuffer(b"".join(sample.column("data").to_pylist()), np.uint8).reshape(-1, SEGMENT)
-        target = np.array([number[k] for k in sample.column("lang").to_pylist()])
-        lengths = sample.column("size").to_numpy().astype(np.int64)
-        network.train(data, lengths, target)
+        lengths = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+        documents = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
+        target = np.array([number[k] for k in names])[documents]
+        network.train(data, lengths, target, documents)
         network.learn_pairs(data, lengths, target)
     return network
 
@@ -378,7 +385,8 @@ def identified(docs: DataFrame, network: Network | None = None) -> DataFrame:
             stays = pa.array((shared.value.judge(texts, lettered)[0] < len(known)) & ~shared.value.noise(texts))
             yield batch.select(list(range(len(names)))).filter(stays)
 
-    return docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")).mapInArrow(run, docs.schema)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(free_name(docs, "lettered"))
+    return docs.select("*", lettered).mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -3,14 +3,14 @@
 Features of a text are the presence of its words, its pairs of neighbouring words and its pairs with one word
 between, hashed into ``2**BITS`` buckets. The model is fitted by FTRL-proximal: each coordinate has its own
 learning rate, and the L1 term keeps most weights at exactly zero, so that the fitted model is a short list of
-(bucket, weight) pairs that is broadcast; ``MAX_WEIGHTS`` bounds it.
+(bucket, weight) pairs that is broadcast; it has at most ``2**BITS`` of them.
 
-The fit uses at most about ``MAX_TRAIN`` labelled rows, chosen by a hash of the id; the bound is a parameter.
-Scoring covers every whole text; labels, lang, source and doc_id are not inputs of a score.
+The fit uses at most about ``MAX_TRAIN`` labelled rows, each whole, chosen by a hash of id and text; the bound is a
+parameter. Scoring covers every whole text; labels, lang, source and doc_id are not inputs of a score.
 
 Defined results: null and empty texts score as texts without features, that is by the intercept alone; with no
-labelled rows every score is 0.5 and predicts 1 only where 0.5 reaches the cut, which it does. Rows that repeat a
-doc_id are scored one by one.
+labelled rows every score is next to 0. Rows that repeat a doc_id are scored one by one; labelled rows with equal id and text
+are learned from once, and an id with several labels counts as toxic if one of them says so.
 """
 
 from __future__ import annotations
@@ -29,10 +29,6 @@ from tabulon.llm.common import held_out, within_share
 BITS = 20
 #: Bound on the labelled rows of a fit.
 MAX_TRAIN = 12_000
-MAX_WEIGHTS = 100_000
-
-#: Features that one training row may bring; longer texts bring the features with the smallest hashes.
-MAX_ROW_FEATURES = 20_000
 
 
 def _features(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +46,10 @@ def _features(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), np.concatenate(buckets)
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, order and the distinct buckets of each training text."""
     for batch in slices(batches):
-        rows = []
-        for text in batch.column(2).to_pylist():
-            found = np.unique(_features(wordhash.words([text]))[1])
-            if len(found) > limit:
-                found = np.sort(found[np.argsort(wordhash.mix(found.astype(np.uint64)))[:limit]])
-            rows.append(found.astype(np.int32))
+        rows = [np.unique(_features(wordhash.words([text]))[1]).astype(np.int32) for text in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["label", "place", "buckets"]
         )
@@ -96,6 +87,8 @@ def fit(
     Toxic rows are rare and count ``toxic_weight`` times. The L1 term shrinks where there are few of them, since the
     gradients that it holds against shrink too.
     """
+    if not labels:
+        return Model(np.empty(0, np.int32), np.empty(0, np.float32), -np.inf)
     l1 = min(l1, max(1.0, 0.03 * toxic_weight * sum(labels)))
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
@@ -117,28 +110,30 @@ def fit(
             z[at] += g - (np.sqrt(before + g * g) - np.sqrt(before)) / alpha * w
             n[at] = before + g * g
     at = np.flatnonzero(np.abs(z[:-1]) > l1)
-    if len(at) > MAX_WEIGHTS:  # the largest stay
-        at = np.sort(at[np.argsort(-np.abs(weights(at)), kind="stable")[:MAX_WEIGHTS]])
     return Model(at.astype(np.int32), weights(at).astype(np.float32), float(weights(np.array([size - 1]))[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_ROW_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    place = F.xxhash64("doc_id")
-    n = known.count()
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    n = ids.join(known, "doc_id").count()
     share = min(1.0, max_train / n) if n else 1.0
-    chosen = known.withColumn("place", place).where(within_share(F.col("place"), share))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    # The chosen ids are few by construction: about ``max_train``.
+    # A hash of id and text chooses the rows before anything is shuffled; equal ones are one.
+    place = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    chosen = (
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), place.alias("place"), F.col("text").cast("binary").alias("text"))
+        .where(F.col("doc_id").isNotNull() & within_share(F.col("place"), share))
+        .dropDuplicates(["doc_id", "place"])
+    )
     rows = (
-        texts.join(F.broadcast(chosen), "doc_id")
+        chosen.join(known, "doc_id")
         .select("label", "place", "text")
-        .mapInArrow(lambda b: _train_rows(b, max_features), "label int, place bigint, buckets array<int>")
-        .toArrow()
+        .mapInArrow(_train_rows, "label int, place bigint, buckets array<int>")
+        .toArrow()  # about ``max_train`` rows
         .sort_by("place")
     )
     buckets = rows.column("buckets").combine_chunks()
