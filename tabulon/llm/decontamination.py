@@ -243,7 +243,7 @@ def decontaminate(
 
 
 #: Contaminated texts whose hashes are sent to every task; more of them meet the documents in a shuffle.
-SENT_TEXTS = 2_000_000
+SENT_TEXTS = 500_000
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

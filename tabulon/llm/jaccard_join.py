@@ -45,7 +45,9 @@ THRESHOLD = 0.8
 BANDS, ROWS, CHECKS, STEP = 28, 4, 48, 8
 TOLERANCE = 1e-8
 #: Members, and bytes of sets, of one chunk; a tile holds two, and compares them a block of members at a time.
-CHUNK_MEMBERS, CHUNK_BYTES, BLOCK_MEMBERS = 2048, 8 << 20, 512
+CHUNK_MEMBERS, CHUNK_BYTES, BLOCK_MEMBERS = 512, 8 << 20, 512
+#: Classes whose names are sent to every task to find their texts; more of them meet the texts in a shuffle.
+SENT_CLASSES = 500_000
 
 _N = BANDS * ROWS + CHECKS
 _rng = np.random.default_rng(8)
@@ -348,15 +350,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "bucket", "band", "chunks", F.pmod(F.xxhash64("fp", F.lit(2)), "chunks").cast("int").alias("chunk"), "fp", "size", "key", "ha", "hb"
         )
     )
-    wanted = members.select("ha", "hb", "fp").distinct()
+    wanted = cut(members.select("ha", "hb", "fp").distinct())
     # Equal texts are one before they are sent, so that many copies of a text travel as one from each task.
     texts = docs.select(*(c.alias(n) for c, n in zip(text_hashes(F.col(text_col)), ("ha", "hb"), strict=True)), text)
-    payload = (
-        texts.dropDuplicates(["ha", "hb"])
-        .join(wanted, ["ha", "hb"])
-        .select("fp", "text")
-        .mapInArrow(_payloads, "fp binary, sig binary, grams binary")
-    )
+    if wanted.count() <= SENT_CLASSES:
+        texts = texts.join(F.broadcast(wanted), ["ha", "hb"]).dropDuplicates(["ha", "hb"])
+    else:
+        texts = texts.dropDuplicates(["ha", "hb"]).join(wanted, ["ha", "hb"])
+    payload = texts.select("fp", "text").mapInArrow(_payloads, "fp binary, sig binary, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     found = cut(
         members.join(payload, "fp")

@@ -36,7 +36,7 @@ from tabulon.llm.batches import slices
 from tabulon.llm.common import cut, id_parts, text_hashes, written
 
 #: Names of lines that are sent to every task; more of them meet the lines in a shuffle.
-SENT_NAMES = 2_000_000
+SENT_NAMES = 1_000_000
 #: Fixed value: the blanks around a line that do not count.
 BLANKS = " \t\r\x0b\x0c"
 

@@ -144,7 +144,8 @@ def contaminated(rows, items):
 
 
 @pytest.mark.parametrize("max_shingles", [10**6, 300])
-def test_decontamination(spark, max_shingles):
+def test_decontamination(spark, max_shingles, monkeypatch):
+    monkeypatch.setattr(decontamination, "SENT_TEXTS", max_shingles - 300)
     rows = corpus()
     rng = random.Random(5)
     items = [(1, "one"), (2, "Two Words!"), (3, None), (4, ""), (5, "...")]
@@ -192,6 +193,7 @@ def near(rows):
 def test_near_duplicates(spark, chunk, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK_MEMBERS", chunk)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", chunk // 2)
+    monkeypatch.setattr(jaccard_join, "SENT_CLASSES", chunk - 5)
     rng = random.Random(2)
     base = [f"w{rng.randrange(300)}" for _ in range(120)]
     rows = corpus()
