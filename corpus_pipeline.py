@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and works on all that the one before it kept.
 
 All but the last return the columns of ``documents``. ``run`` writes each stage's result to the shared folder and
-reads it again for the next, so a lost executor costs at most the stage at hand.
+reads it again for the next, so a lost executor costs at most the stage at hand; a result is deleted once the next one
+stands.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import decontamination, exact_dedup, jaccard_join, language_id, piece_codec
-from tabulon.llm.common import read, shared_folder
+from tabulon.llm.common import read, remove, shared_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages, applied to ``documents``."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
