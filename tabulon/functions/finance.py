@@ -81,14 +81,19 @@ _f("PPMT", _bad_period)(lambda rate, per, nper, pv, fv=0.0, kind=0: pmt(rate, np
 _f("ISPMT")(lambda rate, per, nper, pv: num(pv) * num(rate) * (num(per) / num(nper) - 1))
 
 
-def _cumulative(part, rate, nper, pv, start, end, kind) -> Column:
-    steps = F.sequence(whole(start).cast("int"), whole(end).cast("int"))
-    return F.reduce(steps, F.lit(0.0), lambda acc, k: acc + part(rate, k, nper, pv, 0.0, kind))
+def _interest(rate, nper, pv, start, end, kind) -> Column:
+    """Interest of all periods from start to end: what is owed grows by interest and shrinks by payments, so their sum is
+    a difference of two balances. Due payments pay none in period 1 and lag by one period."""
+    payment, due, last = pmt(rate, nper, pv, 0.0, kind), num(kind) != 0, whole(end)
+    first = F.when(due, F.greatest(whole(start), F.lit(2.0))).otherwise(whole(start))
+    lag = F.when(due, 1.0).otherwise(0.0)
+    grown = fv(rate, last - lag, payment, pv, kind) - fv(rate, first - 1 - lag, payment, pv, kind)
+    return F.when(last < first, 0.0).otherwise(grown + (last - first + 1) * payment)
 
 
 _bad_range = (lambda rate, nper, pv, a, b, kind=0: (num(rate) <= 0) | (num(a) < 1) | (num(b) < num(a)) | (num(b) > num(nper)), NUM)
-_f("CUMIPMT", _bad_range)(lambda rate, nper, pv, a, b, kind=0: _cumulative(ipmt, rate, nper, pv, a, b, kind))
-_f("CUMPRINC", _bad_range)(lambda rate, nper, pv, a, b, kind=0: _cumulative(lambda *x: pmt(x[0], x[2], x[3], x[4], x[5]) - ipmt(*x), rate, nper, pv, a, b, kind))
+_f("CUMIPMT", _bad_range)(lambda rate, nper, pv, a, b, kind=0: _interest(rate, nper, pv, a, b, kind))
+_f("CUMPRINC", _bad_range)(lambda rate, nper, pv, a, b, kind=0: (whole(b) - whole(a) + 1) * pmt(rate, nper, pv, 0.0, kind) - _interest(rate, nper, pv, a, b, kind))
 _f("EFFECT", (lambda r, n: (num(r) <= 0) | (num(n) < 1), NUM))(lambda r, n: F.pow(1 + num(r) / whole(n), whole(n)) - 1)
 _f("NOMINAL", (lambda r, n: (num(r) <= 0) | (num(n) < 1), NUM))(lambda r, n: whole(n) * (F.pow(1 + num(r), 1 / whole(n)) - 1))
 _f("RRI", (lambda n, a, b: num(n) <= 0, NUM))(lambda n, a, b: F.pow(num(b) / num(a), 1 / num(n)) - 1)

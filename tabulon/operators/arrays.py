@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.registry import NA
+from tabulon.functions.text import wildcard
 from tabulon.operators.lookup import zip_with_position
 
 
@@ -114,8 +115,11 @@ def transpose(df: DataFrame, key: str, keys: list) -> DataFrame:
 
 
 def xmatch(df: DataFrame, value: Column, array: str, mode: int = 0, from_end: bool = False) -> Column:
-    """Place of a value in an array column: exact, next smaller (-1), next larger (1)."""
+    """Place of a value in an array column: exact, next smaller (-1), next larger (1), or a text with wildcards (2)."""
     xs = F.col(array)
+    if mode == 2:  # ``value`` is a Python string here
+        hits = F.filter(F.transform(xs, lambda x, i: F.when(x.rlike(wildcard(value)), i + 1)), lambda i: i.isNotNull())
+        return F.get(F.reverse(hits) if from_end else hits, F.lit(0))
     if mode == 0:
         place = F.array_position(F.reverse(xs) if from_end else xs, value)
         return F.when(place > 0, F.size(xs) + 1 - place if from_end else place)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.lineage import cut
+from tabulon.operators.ranking import rank
 
 #: Fixed value: functions whose results change by themselves, so that a stale value says nothing.
 VOLATILE = "NOW|TODAY|RAND|RANDBETWEEN|RANDARRAY|OFFSET|INDIRECT"
@@ -30,11 +31,11 @@ def shape(formula: Column, row: Column, col: Column) -> Column:
 def inconsistent(cells: DataFrame, quorum: int = 3) -> DataFrame:
     """Formulas whose shape differs from at least ``quorum`` others in the same unbroken run of a column.
 
-    A run is a stretch of rows without a gap; the shape that most of its cells have is the expected one.
+    A run is a stretch of rows without a gap; the shape that most of its cells have is the expected one. Rows are
+    numbered by ``ranking.rank``, which cuts a long column into ranges.
     """
     shaped = cells.where(F.col("formula").isNotNull()).withColumn("shape", shape(F.col("formula"), F.col("row"), F.col("col")))
-    down = Window.partitionBy("sheet", "col").orderBy("row")
-    runs = shaped.withColumn("_run", F.col("row") - F.row_number().over(down))
+    runs = rank(shaped, "row", ["sheet", "col"], ascending=True).withColumn("_run", F.col("row") - F.col("rank_eq"))
     counts = runs.groupBy("sheet", "col", "_run", "shape").agg(F.count("*").alias("n"))
     usual = counts.groupBy("sheet", "col", "_run").agg(F.max_by("shape", F.struct("n", "shape")).alias("expected"), F.max("n").alias("quorum"))
     return (

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import wildcard
@@ -85,3 +86,22 @@ def criteria_rows(rows: list[dict]) -> Column:
                 met = met & matches(column, criterion)
         out = out | met
     return out if rows else F.lit(True)
+
+
+def spread(df: DataFrame, column: str, criteria: list, aggregates: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """SUMIF and its like with an array of criteria: a row per criterion, from one pass over ``df``.
+
+    Each aggregate is given the condition of the criterion, e.g. ``lambda met: F.sum(F.when(met, F.col("x")))``.
+    """
+    met = [matches(column, c) for c in criteria]
+    rows = F.array(*(F.struct(F.lit(str(c)).alias("criterion"), *(f(m).alias(a) for a, f in aggregates.items())) for c, m in zip(criteria, met, strict=True)))
+    return df.agg(rows.alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
+
+
+def offset_sum(df: DataFrame, tested: str, criterion, position: str, shift: int, summed: DataFrame, value: str) -> DataFrame:
+    """SUMIF whose sum range lies elsewhere: cells of ``summed`` at the places of the cells that meet the criterion.
+
+    The range is stretched to the size of the tested one: places of it that ``summed`` does not hold count nothing.
+    """
+    places = df.where(matches(tested, criterion)).select((F.col(position) + shift).alias("_place"))
+    return places.join(summed.select(F.col(position).alias("_place"), value), "_place").agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))

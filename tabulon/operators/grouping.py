@@ -44,6 +44,34 @@ def groupby(
     return out.orderBy(*sort) if sort else out
 
 
+def groupby_levels(
+    df: DataFrame, keys: list[str], aggregates: dict[str, Column], total_depth: int = 1, sort_order: list[int] | None = None, where: Column | None = None
+) -> DataFrame:
+    """GROUPBY with its options: ``total_depth`` 0 is none, 1 the grand total, 2 and more subtotals as well, below their
+    rows if positive and above if negative; ``sort_order`` numbers columns of the result from 1, descending if negative.
+
+    ``level`` is 0 for plain rows and counts the keys that a total has summed over. The result is sorted as a whole, by
+    its columns or, without ``sort_order``, by its keys. All levels come from one grouping-sets aggregation.
+    """
+    if where is not None:
+        df = df.where(where)
+    df, folded = _keyed(df, keys)
+    cols = [F.col(f) for f in folded]
+    depths = [len(cols), *range(min(abs(total_depth), len(cols)) - 1, -1, -1)]
+    shown = [F.min(k).alias(f"_show_{k}") for k in keys]
+    grouped = df.groupingSets([cols[:d] for d in depths], *cols).agg(*(c.alias(a) for a, c in aggregates.items()), *shown, F.grouping_id().alias("_id"))
+    level = F.length(F.replace(F.bin(F.col("_id")), F.lit("0"), F.lit("")))
+    out = grouped.select(
+        *(F.when(F.col(f).isNotNull(), F.col(f"_show_{k}")).alias(k) for k, f in zip(keys, folded, strict=True)), *aggregates, level.alias("level")
+    )
+    names = [*keys, *aggregates]
+    wanted = [(F.col(names[abs(n) - 1]), n < 0) for n in sort_order or []] or [(F.col(k), False) for k in keys]
+    last = total_depth > 0
+    by_level = [F.col("level").asc() if last else F.col("level").desc()]
+    order = [c.desc_nulls_last() if down else (c.asc_nulls_last() if last else c.asc_nulls_first()) for c, down in wanted]
+    return out.orderBy(*((by_level + order) if sort_order else (order + by_level)))
+
+
 def pivotby(df: DataFrame, rows: list[str], column: str, values: list, aggregate: Column, totals: bool = False) -> DataFrame:
     """Row keys down, the given values of ``column`` across; ``totals`` adds a column ``Total`` and a row of nulls.
 

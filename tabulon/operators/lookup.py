@@ -46,6 +46,25 @@ def vlookup_exact(left: DataFrame, on: str, table: DataFrame, column: int, order
     return xlookup(left, on, table, table.columns[0], [table.columns[column - 1]], order)
 
 
+def hlookup(
+    left: DataFrame, on: str, table: DataFrame, order: str, row: int, key_row: int = 1, approximate: bool = False
+) -> DataFrame:
+    """HLOOKUP: the keys stand in one row of ``table`` (by the number in ``order``), the results in another.
+
+    Two rows of the table are turned into one row per column, and the lookup goes on downwards. The first match from
+    the left counts, or with ``approximate`` the last key at or below the value.
+    """
+    columns = [c for c in table.columns if c != order]
+    two = table.where(F.col(order).isin(key_row, row)).select(order, *(F.col(c).cast("string") for c in columns))
+    places = F.array(*(F.struct(F.lit(k).alias("place"), F.col(c).alias("v")) for k, c in enumerate(columns)))
+    cells = two.select(order, F.explode(places).alias("c")).select(order, "c.*")
+    at = lambda n: F.max(F.when(F.col(order) == n, F.col("v")))
+    across = cells.groupBy("place").agg(at(key_row).alias("key"), at(row).alias("value"))
+    if approximate:
+        return asof(left, on, across.where("key IS NOT NULL"), "key", ["value"])
+    return xlookup(left.withColumn("_text", F.col(on).cast("string")), "_text", across, "key", ["value"], "place").drop("_text")
+
+
 def asof(
     left: DataFrame, on: str, table: DataFrame, key: str, values: list[str], by: list[str] | None = None, direction: str = "backward", ranges: int | None = None
 ) -> DataFrame:

@@ -1,21 +1,47 @@
 """Ranks, percentile ranks, trimmed means, modes and histograms over groups.
 
 Ranks come from counts per distinct value: one aggregation, a running sum over the values of each group, and a join
-back. Repeated values, however many rows hold them, take one row there.
+back. Repeated values, however many rows hold them, take one row there. The running sum is cut into ranges of values:
+each range is summed on its own and learns the total of the ranges before it from one row per group and range, so a
+group with many distinct values is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
+def _range_of(counts: DataFrame, value: str) -> Column:
+    """Number of the range of values that a row lies in; values that are no numbers are one range."""
+    kind = dict(counts.dtypes)[value]
+    if kind not in _NUMBERS and not kind.startswith("decimal"):
+        return F.lit(0)
+    x, n = F.col(value).cast("double"), int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = counts.select(F.percentile_approx(x, [k / n for k in range(1, n)], 10_000).alias("c")).first().c if n > 1 else None
+    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    return F.aggregate(edges, F.lit(0), lambda acc, c: acc + F.when(c < x, 1).otherwise(0))
+
 
 def _values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, value, n, below, total) of every distinct value."""
+    """(by, value, _n, _below, _total) of every distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("_below", F.sum("_n").over(run) - F.col("_n")).withColumn("_total", F.sum("_n").over(w))
+    ranged = counts.withColumn("_range", _range_of(counts, value))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [*by, "_range"]
+    edges = sums.select(
+        *(F.col(c).alias(f"_{k}") for k, c in enumerate(names)), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(group).alias("_total")
+    )
+    inside = Window.partitionBy(*names).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_inside", F.sum("_n").over(inside) - F.col("_n"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(names)))
+    return summed.join(edges, same).select(*by, value, "_n", (F.col("_before") + F.col("_inside")).alias("_below"), "_total")
 
 
 def rank(df: DataFrame, value: str, by: list[str], ascending: bool = False) -> DataFrame:
@@ -26,10 +52,12 @@ def rank(df: DataFrame, value: str, by: list[str], ascending: bool = False) -> D
     return df.join(places, [*by, value], "left")
 
 
-def percent_rank(df: DataFrame, value: str, by: list[str], exclusive: bool = False) -> DataFrame:
-    """PERCENTRANK.INC: rows below / (n - 1); .EXC: (rows below + 1) / (n + 1)."""
+def percent_rank(df: DataFrame, value: str, by: list[str], exclusive: bool = False, significance: int | None = None) -> DataFrame:
+    """PERCENTRANK.INC: rows below / (n - 1); .EXC: (rows below + 1) / (n + 1); cut to ``significance`` digits if given."""
     v = _values(df, value, by)
     share = (F.col("_below") + 1) / (F.col("_total") + 1) if exclusive else F.try_divide(F.col("_below"), F.col("_total") - 1)
+    if significance is not None:
+        share = F.floor(share * 10.0**significance) / 10.0**significance
     return df.join(v.select(*by, value, share.alias("percent_rank")), [*by, value], "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that register queries.
-MODULES = ["aggregates", "relations", "scalars", "finance", "statistics", "models", "closed"]
+MODULES = ["aggregates", "relations", "scalars", "finance", "statistics", "models", "closed", "options"]
 
 
 def load():

@@ -270,7 +270,7 @@ scalars(
         "bessel_j": (_call("BESSELJ", _X, 1), rs(f"{_sum(f'cos(@t - {_S} * sin(@t))', '0', 'pi()', 500)} / pi()", 6)),
         "bessel_i": (_call("BESSELI", _X, 1, digits=4), rs(f"{_sum(f'exp({_S} * cos(@t)) * cos(@t)', '0', 'pi()', 500)} / pi()", 4)),
         "bessel_k": (_call("BESSELK", _X, 1, digits=4), rs(_sum(f"exp(-{_S} * cosh(@t)) * cosh(@t)", "0", "9"), 4)),
-        "bessel_y": (_call("BESSELY", _X, 1, digits=4), rs(f"{_sum(f'sin({_S} * sin(@t) - @t)', '0', 'pi()', 4000)} / pi() - {_sum(f'(exp(@t) - exp(-@t)) * exp(-{_S} * sinh(@t))', '0', '9', 4000)} / pi()", 4)),
+        "bessel_y": (_call("BESSELY", _X, 1, digits=4), rs(f"{_sum(f'sin({_S} * sin(@t) - @t)', '0', 'pi()', 4000)} / pi() - {_sum(f'(exp(@t) - exp(-@t)) * exp(-{_S} * sinh(@t))', '0', '9', 20000)} / pi()", 4)),
     },
 )
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tabulon.functions.registry import value
-from tabulon.operators import audit
+from tabulon.operators import audit, lineage
 from tabulon.plans.registry import query, r, rs
 from tabulon.simulation import quantiles, run
 from tabulon.sources.tables import table
@@ -172,8 +172,7 @@ def stream_tumbling(spark, folder):
     like = table(spark, folder, "events")
     stream = windows.read_stream(spark, f"{folder}/events*", like)
     counted = windows.windowed(stream, "ts", "1 hour", {"n": F.count("*"), "total": F.sum("value")}, ["event_type"], late="3650 days")
-    root = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # Complete results per batch: the last batch holds them all.
     def keep(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
@@ -183,12 +182,6 @@ def stream_tumbling(spark, folder):
     return spark.read.parquet(f"{base}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", r(F.col("total"), 3).alias("total"))
 
 
-def _temporary() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tabulon-")
-
-
 @query("windows_sliding", "SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR])::TIMESTAMP AS w FROM events) GROUP BY 1")
 def windows_sliding(spark, folder):
     out = windows.windowed(table(spark, folder, "events"), "ts", "2 hours", {"n": F.count("*")}, slide="1 hour")

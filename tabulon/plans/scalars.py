@@ -52,7 +52,6 @@ scalars(
         "power_": (lambda: r(value("POWER", F.col("l_linenumber"), 2.5), 6), rs("power(l_linenumber, 2.5)", 6)),
         "sqrt_error": (lambda: error("SQRT", F.col("l_linenumber") - 3), "CASE WHEN l_linenumber < 3 THEN '#NUM!' END"),
     },
-    where="l_orderkey >= 0",
 )
 
 _P = later
@@ -201,7 +200,6 @@ scalars(
         "datevalue_": (lambda: value("DATEVALUE", F.date_format("o_orderdate", "M/d/yyyy")), "date_diff('day', DATE '1899-12-30', o_orderdate)::DOUBLE"),
         "text_date": (lambda: value("TEXT", F.col("o_orderdate"), "dd/mm/yyyy"), "strftime(o_orderdate, '%d/%m/%Y')"),
     },
-    where="o_orderdate < TIMESTAMP '2001-12-15'",
 )
 
 scalars(

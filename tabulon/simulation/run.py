@@ -50,9 +50,21 @@ Input = tuple  # (distribution, parameters...) or a dict of draw's arguments
 
 
 def simulate(
-    spark: SparkSession, trials: int, inputs: dict[str, Input], outputs: dict[str, Callable[[], Column] | Column], seed: int = 42, partitions: int | None = None
+    spark: SparkSession,
+    trials: int,
+    inputs: dict[str, Input],
+    outputs: dict[str, Callable[[], Column] | Column],
+    seed: int = 42,
+    partitions: int | None = None,
+    overrides: dict[str, float | Input] | None = None,
 ) -> DataFrame:
-    """A row per trial with all inputs and outputs; outputs may use inputs and the outputs before them."""
+    """A row per trial with all inputs and outputs; outputs may use inputs and the outputs before them.
+
+    ``overrides`` puts a number or another distribution in the place of inputs; the others draw what they drew before.
+    """
+    if unknown := set(overrides or {}) - set(inputs):
+        raise KeyError(f"no input named {sorted(unknown)}")
+    inputs = inputs | {k: v if isinstance(v, tuple) else ("PSIUNIFORM", float(v), float(v)) for k, v in (overrides or {}).items()}
     df = spark.range(0, trials, 1, partitions).withColumnRenamed("id", "trial")
     df = df.select("trial", *(draw(d, *p, u=uniform(seed, name)).alias(name) for name, (d, *p) in inputs.items()))
     for name, make in outputs.items():
