@@ -12,12 +12,20 @@ from tabulon.functions.registry import num
 
 
 def vector(compute: Callable, *args) -> Column:
-    """``compute`` over double columns; NaN and infinity come back as null."""
+    """``compute``, value by value, over double columns; NaN and infinity come back as null.
+
+    Where one column varies and the others are constant, repeated values of it are computed once per batch.
+    """
     import numpy as np
 
     def run(*columns: pd.Series) -> pd.Series:
+        arrays, back = [c.to_numpy(float) for c in columns], slice(None)
+        varied = [k for k, a in enumerate(arrays) if len(a) and not (a == a[0]).all()]
+        if len(varied) == 1:
+            values, back = np.unique(arrays[varied[0]], return_inverse=True)
+            arrays = [values if k == varied[0] else a[: len(values)] for k, a in enumerate(arrays)]
         with np.errstate(all="ignore"):
-            out = np.asarray(compute(*(c.to_numpy(float) for c in columns)), float)
+            out = np.asarray(compute(*arrays), float)[back]
         return pd.Series(np.where(np.isfinite(out), out, np.nan))
 
     return F.pandas_udf(run, "double")(*map(num, args))
