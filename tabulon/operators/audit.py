@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators.lineage import cut
+from tabulon.operators.lineage import written
 from tabulon.operators.ranking import rank
 
 #: Fixed value: functions whose results change by themselves, so that a stale value says nothing.
@@ -70,22 +70,54 @@ def stale(cells: DataFrame) -> DataFrame:
     return cells.where(fixed & (outcome(F.col("cached"), F.col("computed")) == "differed"))
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Without the edges out of cells that read nothing and into cells that nothing reads."""
+    reads, read = edges.select(F.col("from_cell").alias("_a")), edges.select(F.col("to_cell").alias("_b"))
+    return edges.join(reads, F.col("to_cell") == F.col("_a"), "left_semi").join(read, F.col("from_cell") == F.col("_b"), "left_semi")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with each chain of cells of one edge in and one out made a single edge, the chains' cells (cell, a, b) with
+    the two ends of their chain, and the cells of circles that consist of such cells alone.
+
+    Every cell points at the next ones of its chain on both sides, and the reach of the pointers doubles in each round.
+    A round settles more cells as long as a chain is open; what stays open then runs in circles.
+    """
+    ins = edges.groupBy(F.col("to_cell").alias("cell")).agg(F.min("from_cell").alias("a"), F.count("*").alias("n")).where("n = 1").drop("n")
+    outs = edges.groupBy(F.col("from_cell").alias("cell")).agg(F.min("to_cell").alias("b"), F.count("*").alias("n")).where("n = 1").drop("n")
+    now, before = written(ins.join(outs, "cell")), None
+    inner = now.select("cell")
+    while (left := now.join(inner.select(F.col("cell").alias("a")), "a", "left_semi").count()) not in (before, 0):
+        before = left
+        up, down = now.select(F.col("cell").alias("a"), F.col("a").alias("a2")), now.select(F.col("cell").alias("b"), F.col("b").alias("b2"))
+        now = written(now.join(up, "a", "left").join(down, "b", "left").select("cell", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")))
+    ends = inner.select(F.col("cell").alias("a"))
+    chains = now.join(ends, "a", "left_anti")
+    others = edges.join(inner, F.col("from_cell") == F.col("cell"), "left_anti").join(inner, F.col("to_cell") == F.col("cell"), "left_anti")
+    short = others.unionByName(chains.select(F.col("a").alias("from_cell"), F.col("b").alias("to_cell"))).distinct()
+    return short, chains, now.join(ends, "a", "left_semi").select("cell")
+
+
 def unresolved(edges: DataFrame) -> DataFrame:
     """Cells that take part in a circular reference or stand between two of them.
 
     Edges into cells that read nothing, or out of cells that nothing reads, are taken away until none goes; what is
-    left lies on circles or between them. A chain loses both ends in each round, so the rounds are half the longest
-    one. A round names its edges three times, so every second one is written out, and the plan stays small.
+    left lies on circles or between them. Chains become single edges before each such step, so that the rounds grow
+    with the logarithm of the longest chain and with the depth of branching, and a chain's cells are among the result
+    if both its ends are. Each round is written to the shared folder.
     """
-    now = cut(edges.select("from_cell", "to_cell").distinct())
-    before = None
+    now = written(edges.select("from_cell", "to_cell").distinct())
+    before, steps = None, []
     while (left := now.count()) not in (before, 0):
         before = left
-        for _ in range(2):
-            reads, read = now.select(F.col("from_cell").alias("_a")), now.select(F.col("to_cell").alias("_b"))
-            now = now.join(reads, F.col("to_cell") == F.col("_a"), "left_semi").join(read, F.col("from_cell") == F.col("_b"), "left_semi")
-        now = cut(now)
-    return now.select(F.col("from_cell").alias("cell")).unionByName(now.select(F.col("to_cell").alias("cell"))).distinct()
+        short, chains, circles = _contracted(now)
+        steps.append((chains, circles))
+        now = written(_peeled(_peeled(short)))
+    cells = now.select(F.col("from_cell").alias("cell")).unionByName(now.select(F.col("to_cell").alias("cell"))).distinct()
+    for chains, circles in reversed(steps):
+        between = chains.join(cells.select(F.col("cell").alias("a")), "a", "left_semi").join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
+        cells = written(cells.unionByName(between.select("cell")).unionByName(circles))
+    return cells
 
 
 def ordered(findings: DataFrame) -> DataFrame:

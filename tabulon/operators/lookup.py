@@ -2,9 +2,9 @@
 
 Exact lookups take the first match: the table is reduced to one row per key, so the join never multiplies rows.
 Approximate lookups (the last key at or below a value) are as-of joins: both sides are laid into one stream ordered by
-key, and a window carries the latest table row along. Without an equality the stream has to be ordered as a whole, so
-it is cut into ranges first: every range learns the last table row of the ranges before it from a summary of one row
-per range, and no task ever holds more than its range.
+key, and a window carries the latest table row along. The stream is cut into ranges of the key first: every range learns
+the last table row of the ranges before it from a summary of one row per group and range, and no task ever holds more
+than its range, however many rows a group has.
 """
 
 from __future__ import annotations
@@ -84,21 +84,19 @@ def asof(
     step = F.last if backward else F.first
     order = [F.col("_at"), F.col("_side"), F.col("_row")]
     frame = (Window.unboundedPreceding, 0) if backward else (0, Window.unboundedFollowing)
-    if by:
-        found = both.withColumn("_hit", step("_row", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*frame)))
-    else:
-        # Ranges of the values at hand; one number per range is all that crosses from one to the next.
-        n = ranges or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = both.select(F.percentile_approx("_at", [k / n for k in range(1, n)], 10_000).alias("c")).first().c if n > 1 else []
-        place = F.aggregate(F.array(*map(F.lit, sorted(set(cuts or [])))), F.lit(0), lambda acc, c: acc + F.when(c < F.col("_at"), 1).otherwise(0)) if cuts else F.lit(0)
-        ranged = both.withColumn("_range", place)
-        edge = (F.max if backward else F.min)(F.when(F.col("_row").isNotNull(), F.struct("_at", "_row")))
-        carry = ranged.groupBy("_range").agg(edge.alias("_edge"))
-        # At most ``n`` rows: the table row nearest to each range from the ranges before (or after) it.
-        w = Window.orderBy("_range").rowsBetween(*((Window.unboundedPreceding, -1) if backward else (1, Window.unboundedFollowing)))
-        carried = carry.withColumn("_carry", step(F.col("_edge._row"), ignorenulls=True).over(w)).select("_range", "_carry")
-        inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(*frame)
-        found = ranged.withColumn("_inner", step("_row", ignorenulls=True).over(inner)).join(F.broadcast(carried), "_range", "left").withColumn("_hit", F.coalesce("_inner", "_carry"))
+    # Ranges of the values at hand. Each group and range gets one row more, the table row nearest to it from the ranges
+    # before (or after) it, so that a group with many rows is spread over many tasks.
+    n = ranges or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = both.select(F.percentile_approx("_at", [k / n for k in range(1, n)], 10_000).alias("c")).first().c if n > 1 else None
+    place = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))), F.lit(0), lambda acc, c: acc + F.when(c < F.col("_at"), 1).otherwise(0)) if cuts else F.lit(0)
+    ranged = both.withColumn("_range", place)
+    edge = (F.max if backward else F.min)(F.when(F.col("_row").isNotNull(), F.struct("_at", "_row")))
+    edges = ranged.groupBy(*by, "_range").agg(edge.alias("_edge"))
+    others = Window.partitionBy(*by).orderBy("_range").rowsBetween(*((Window.unboundedPreceding, -1) if backward else (1, Window.unboundedFollowing)))
+    outside = F.lit(float("-inf" if backward else "inf"))
+    carried = edges.select(*by, outside.alias("_at"), F.lit(0 if backward else 1).alias("_side"), step(F.col("_edge._row"), ignorenulls=True).over(others).alias("_row"), no_probe.alias("_left"), "_range")
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(*frame)
+    found = ranged.unionByName(carried).withColumn("_hit", step("_row", ignorenulls=True).over(inside))
     picked = [F.col(f"_hit.{v}").alias(v) for v in values]
     return found.where(F.col("_left").isNotNull()).select("_left.*", *picked, F.when(F.col("_hit").isNull(), NA).alias("lookup_error"))
 

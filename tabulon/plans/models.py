@@ -152,13 +152,14 @@ def audit_outcomes(spark, folder):
     return audit.compared(_sheet(spark, folder))
 
 
-@query("audit_circles", "SELECT unnest([o_orderkey, o_orderkey + 1000000]) AS cell FROM orders WHERE o_orderkey % 100 = 3")
+@query("audit_circles", "SELECT unnest([2 * o_orderkey, 2 * o_orderkey + 1]) AS cell FROM orders WHERE o_orderkey % 100 = 3")
 def audit_circles(spark, folder):
-    """Every hundredth order refers to a cell that refers back; the others form chains."""
+    """Every hundredth order refers to a cell that refers back; a running total over all orders is one long chain."""
     o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
-    there, back = o.where("k % 100 = 3").selectExpr("k AS from_cell", "k + 1000000 AS to_cell"), o.where("k % 100 = 3").selectExpr("k + 1000000 AS from_cell", "k AS to_cell")
-    chains = o.where("k % 100 NOT IN (2, 3)").selectExpr("k AS from_cell", "k + 1 AS to_cell")
-    return audit.unresolved(there.unionByName(back).unionByName(chains))
+    odd = o.where("k % 100 = 3")
+    there, back = odd.selectExpr("2 * k AS from_cell", "2 * k + 1 AS to_cell"), odd.selectExpr("2 * k + 1 AS from_cell", "2 * k AS to_cell")
+    chain = o.selectExpr("-k - 1 AS from_cell", "-k - 2 AS to_cell")
+    return audit.unresolved(there.unionByName(back).unionByName(chain))
 
 
 # -- streams ---------------------------------------------------------------------------------------------------------
@@ -166,20 +167,25 @@ def audit_circles(spark, folder):
 
 @query("stream_tumbling", f"SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, {rs('sum(value)', 3)} AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, folder):
-    """The events as a stream of files: hourly windows, processed to the end, and read back."""
+    """The events as a stream of files: hourly windows, processed to the end, and read back.
+
+    A batch writes the windows that it changed to a folder of its own, so that a batch that is done again leaves the same,
+    and the last word on each window counts. Files come in no order of time: the watermark spans them all.
+    """
     from pyspark.sql import DataFrame
 
     like = table(spark, folder, "events")
     stream = windows.read_stream(spark, f"{folder}/events*", like)
     counted = windows.windowed(stream, "ts", "1 hour", {"n": F.count("*"), "total": F.sum("value")}, ["event_type"], late="3650 days")
     base = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    # Complete results per batch: the last batch holds them all.
+
     def keep(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
 
-    started = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    started = counted.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     started.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", r(F.col("total"), 3).alias("total"))
+    last = spark.read.parquet(f"{base}/out").groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("_last")).select("window_start", "event_type", "_last.*")
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", r(F.col("total"), 3).alias("total"))
 
 
 @query("windows_sliding", "SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR])::TIMESTAMP AS w FROM events) GROUP BY 1")

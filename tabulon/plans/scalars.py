@@ -114,7 +114,13 @@ scalars(
 )
 
 
-@query("roman_numerals")
+_ROMAN = " || ".join(
+    f"list_extract(['', '{a}', '{a}{a}', '{a}{a}{a}', '{a}{b}', '{b}', '{b}{a}', '{b}{a}{a}', '{b}{a}{a}{a}', '{a}{c}'], (n // {place} % 10 + 1)::INT)"
+    for a, b, c, place in (("M", "", "", 1000), ("C", "D", "M", 100), ("X", "L", "C", 10), ("I", "V", "X", 1))
+)
+
+
+@query("roman_numerals", f"SELECT p_partkey, n, {_ROMAN} AS roman, n AS back FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS n FROM part)")
 def roman_numerals(spark, folder):
     df = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % 3999 + 1).alias("n"))
     out = df.select("p_partkey", "n", value("ROMAN", F.col("n")).alias("roman"))

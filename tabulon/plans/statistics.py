@@ -139,9 +139,19 @@ def forecast_exponential(spark, folder):
     return forecast.exponential(_monthly(spark, folder), "q", "m", ["l_returnflag"], 0.3).select("l_returnflag", r(F.col("forecast"), 3).alias("forecast"))
 
 
-@query("forecast_holt")
+_HOLT = f"""WITH RECURSIVE s AS (SELECT l_returnflag, q::DOUBLE AS q, row_number() OVER w AS k, lead(q) OVER w - q AS step FROM {_MONTHLY} WINDOW w AS (PARTITION BY l_returnflag ORDER BY m)),
+    h AS (
+        SELECT l_returnflag, k, q AS level, step::DOUBLE AS trend FROM s WHERE k = 1
+        UNION ALL
+        SELECT s.l_returnflag, s.k, 0.4::DOUBLE * s.q + 0.6::DOUBLE * (h.level + h.trend),
+            0.2::DOUBLE * (0.4::DOUBLE * s.q + 0.6::DOUBLE * (h.level + h.trend) - h.level) + 0.8::DOUBLE * h.trend
+        FROM h JOIN s ON s.l_returnflag = h.l_returnflag AND s.k = h.k + 1)
+    SELECT l_returnflag, {rs('max_by(level, k) + 2 * max_by(trend, k)', 3)} AS forecast FROM h GROUP BY 1"""
+
+
+@query("forecast_holt", _HOLT)
 def forecast_holt(spark, folder):
-    return forecast.double_exponential(_monthly(spark, folder), "q", "m", ["l_returnflag"], 0.4, 0.2, 2)
+    return forecast.double_exponential(_monthly(spark, folder), "q", "m", ["l_returnflag"], 0.4, 0.2, 2).select("l_returnflag", r(F.col("forecast"), 3).alias("forecast"))
 
 
 @query("forecast_ets")

@@ -107,3 +107,80 @@ def test_hypothesis_tests_use_every_row(spark, monkeypatch):
     monkeypatch.setattr(inference, "chisq_test", lambda df, *args: sizes.append(df.count()) or chisq(df, *args))
     load().QUERIES["hypothesis_tests"](spark, FOLDER)
     assert sizes == [spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()]
+
+
+def _on_or_between_circles(edges):
+    """Cells that some circle reaches and that reach some circle, by plain search."""
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+
+    def reach(start, links):
+        seen, todo = set(), list(links.get(start, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += links.get(x, ())
+        return seen
+
+    circles = {x for x in out if x in reach(x, out)}
+    return {x for x in {*out, *into} if x in circles or reach(x, out) & circles and reach(x, into) & circles}
+
+
+def test_unresolved_cells_equal_a_plain_search(spark):
+    import random
+
+    from tabulon.operators import audit
+
+    rng = random.Random(5)
+    chain = [(1000 + k, 1001 + k) for k in range(300)]
+    ring = [(2000 + k, 2000 + (k + 1) % 50) for k in range(50)]
+    lollipop = [(3000, 3001), (3001, 3000), *((3001 + k, 3002 + k) for k in range(20)), (3021, 3022), (3022, 3021), (3010, 4000), (4000, 4001), (5, 5), (6, 6), (6, 7)]
+    graphs = [chain + ring + lollipop, [], chain, ring, *([(rng.randrange(40), rng.randrange(40)) for _ in range(n)] for n in (20, 36, 60))]
+    for edges in graphs:
+        df = spark.createDataFrame(edges + edges[:3], "from_cell bigint, to_cell bigint")
+        got = [r.cell for r in audit.unresolved(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == _on_or_between_circles(edges)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_spreads_a_hot_group_and_finds_the_nearest(spark, direction):
+    import random
+
+    from tabulon.operators import lookup
+
+    rng = random.Random(2)
+    groups = [1] * 6 + [2, 3, None]
+    left = [(k, rng.choice(groups), float(rng.randrange(500))) for k in range(600)]
+    right = [(rng.choice([1, 1, 1, 2, None]), float(rng.randrange(-20, 520)), k) for k in range(150)]
+    probes = spark.createDataFrame(left, "k int, g int, at double")
+    table = spark.createDataFrame(right, "g int, key double, v int")
+    got = lookup.asof(probes, "at", table, "key", ["v"], by=["g"], direction=direction, ranges=16)
+    backward = direction == "backward"
+
+    def nearest(g, at):
+        hits = [(key, v) for h, key, v in right if h == g and (key <= at if backward else key >= at)]
+        return (max if backward else min)(hits, default=(None, None))[1]
+
+    assert {r.k: r.v for r in got.collect()} == {k: nearest(g, at) for k, g, at in left}
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from tabulon.streaming import windows
+
+    # The second row of ten o'clock comes when its window is closed; a batch tells by the watermark of the one before it.
+    batches = [[10, 14], [15], [10, 14, 16], [19]]
+    for k, hours in enumerate(batches):
+        rows = spark.createDataFrame([(datetime(2024, 1, 1, h, 5 + k),) for h in hours], "ts timestamp").coalesce(1)
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = windows.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")), files_per_trigger=1)
+    counted = windows.windowed(stream, "ts", "1 hour", {"n": F.count("*")}, late="1 hour")
+    windows.run_available(counted, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = {r.window_start.hour: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {10: 1, 14: 2, 15: 1, 16: 1}
