@@ -102,17 +102,31 @@ _f("DOLLARDE", (lambda x, n: num(n) < 0, NUM), (lambda x, n: whole(n) == 0, DIV0
 _f("DOLLARFR", (lambda x, n: num(n) < 0, NUM), (lambda x, n: whole(n) == 0, DIV0))(lambda x, n: whole(x) + (num(x) - whole(x)) * whole(n) / F.pow(F.lit(10.0), F.ceil(F.log10(whole(n)))))
 
 
-def _root(f, low, high, steps: int = 100):
-    """Bisection on arrays; NaN where the ends have the same sign."""
-    a, b = np.broadcast_to(low, f(low).shape).astype(float), np.broadcast_to(high, f(high).shape).astype(float)
-    fa, fb = f(a), f(b)
-    good = np.sign(fa) * np.sign(fb) <= 0
-    for _ in range(steps):
-        m = (a + b) / 2
-        fm = f(m)
-        left = np.sign(fm) == np.sign(fa)
-        a, fa, b = np.where(left, m, a), np.where(left, fm, fa), np.where(left, b, m)
-    return np.where(good, (a + b) / 2, np.nan)
+def _root(f, low, high, steps: int = 200):
+    """Roots in brackets, on arrays, by Chandrupatla's method: inverse quadratic steps where three points allow one, else
+    halves, down to the last places; NaN where the ends have the same sign."""
+    fa, fb = f(low), f(high)
+    a, b = np.broadcast_to(low, fa.shape).astype(float), np.broadcast_to(high, fb.shape).astype(float)
+    good, out = np.sign(fa) * np.sign(fb) <= 0, np.where(fa == 0, a, b)
+    done, t = ~good | (fa == 0) | (fb == 0), 0.5
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            if done.all():
+                break
+            x = a + t * (b - a)
+            fx = f(x)
+            none, same = np.isnan(fx), np.sign(fx) == np.sign(fa)
+            c, fc = np.where(same, a, b), np.where(same, fa, fb)
+            b, fb = np.where(none, x, np.where(same, b, a)), np.where(none, fx, np.where(same, fb, fa))
+            a, fa = np.where(none, a, x), np.where(none, fa, fx)
+            best = np.where(np.abs(fb) < np.abs(fa), b, a)
+            out = np.where(done, out, best)
+            least = 4.5e-16 * np.abs(best) / np.abs(b - a)
+            done = done | (fa == 0) | ~(least <= 0.5)
+            xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
+            t = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
+            t = np.where((phi * phi < xi) & ((1 - phi) ** 2 < 1 - xi) & np.isfinite(t), np.clip(t, least, 1 - least), 0.5)
+    return np.where(good, out, np.nan)
 
 
 def _rate(n, payment, pv, fv, kind):
@@ -389,19 +403,42 @@ def mirr(flows: Column, finance, reinvest) -> Column:
     return F.pow(F.try_divide(gains, -costs), 1.0 / (n - 1)) - 1
 
 
-def _irr(values: np.ndarray, times: np.ndarray, guess: float) -> float:
-    """The root of the present value nearest the guess, among sign changes on a grid of rates."""
-    if not ((values > 0).any() and (values < 0).any()):
-        return float("nan")
-    grid = np.concatenate((np.linspace(-0.99, 1, 400), np.geomspace(1.01, 100, 100)))
-    worth = lambda r: (values[None, :] * (1 + np.atleast_1d(r)[:, None]) ** -times[None, :]).sum(1)
+#: The rates between which sign changes are looked for.
+_GRID = np.concatenate((np.linspace(-0.99, 1, 400), np.geomspace(1.01, 100, 100)))
+
+
+def _irr(values: np.ndarray, times: np.ndarray, guess: float) -> np.ndarray:
+    """For rows of flows and their times: the root of the present value nearest the guess, among sign changes on the grid.
+
+    Rows of the same times share the powers of the grid.
+    """
+    out = np.full(len(values), np.nan)
+    far = np.abs(_GRID[:-1] - guess)
+    kinds, kind = np.unique(times, axis=0, return_inverse=True)
+    order = np.argsort(kind.ravel(), kind="stable")
     with np.errstate(all="ignore"):
-        at = worth(grid)
-        changes = np.flatnonzero(np.sign(at[1:]) * np.sign(at[:-1]) <= 0)
-        if not len(changes):
-            return float("nan")
-        k = changes[np.argmin(np.abs(grid[changes] - guess))]
-        return float(_root(worth, grid[k : k + 1], grid[k + 1 : k + 2])[0])
+        for t, rows in zip(kinds, np.split(order, np.cumsum(np.bincount(kind.ravel()))[:-1]), strict=True):
+            powers = (1 + _GRID)[:, None] ** -t
+            rows = rows[(values[rows] > 0).any(1) & (values[rows] < 0).any(1)]
+            for k in range(0, len(rows), 1000):
+                some = rows[k : k + 1000]
+                sign = np.sign(values[some] @ powers.T)
+                changes = sign[:, 1:] * sign[:, :-1] <= 0
+                some, changes = some[changes.any(1)], changes[changes.any(1)]
+                at = np.where(changes, far, np.inf).argmin(1)
+                v = values[some]
+                out[some] = _root(lambda r, v=v, t=t: (v * (1 + r)[:, None] ** -t).sum(1), _GRID[at], _GRID[at + 1])
+    return out
+
+
+def _irr_of(rows: pd.Series, times: pd.Series, guess: float) -> pd.Series:
+    """Rows go by their number of flows; none where flows or times are missing or not equally many."""
+    out = np.full(len(rows), np.nan)
+    sizes = np.array([-1 if v is None or t is None or len(v) != len(t) else len(v) for v, t in zip(rows, times, strict=True)], int)
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        out[at] = _irr(*(np.stack(x.iloc[at].tolist()).astype(float) for x in (rows, times)), guess)
+    return pd.Series(out)
 
 
 _mixed_signs = (lambda flows, *_: ~(F.exists(flows, lambda v: v > 0) & F.exists(flows, lambda v: v < 0)), NUM)
@@ -410,7 +447,7 @@ _mixed_signs = (lambda flows, *_: ~(F.exists(flows, lambda v: v > 0) & F.exists(
 @_f("IRR", _mixed_signs)
 def irr(flows: Column, guess: float = 0.1) -> Column:
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([_irr(np.asarray(v, float), np.arange(len(v)), guess) for v in rows], dtype=float)
+        return _irr_of(rows, rows.map(lambda v: None if v is None else np.arange(float(len(v)))), guess)
 
     return F.pandas_udf(run, "double")(flows.cast("array<double>"))
 
@@ -418,7 +455,7 @@ def irr(flows: Column, guess: float = 0.1) -> Column:
 @_f("XIRR", _mixed_signs)
 def xirr(flows: Column, dates: Column, guess: float = 0.1) -> Column:
     def run(rows: pd.Series, days: pd.Series) -> pd.Series:
-        return pd.Series([_irr(np.asarray(v, float), np.asarray(d, float) / 365, guess) for v, d in zip(rows, days, strict=True)], dtype=float)
+        return _irr_of(rows, days.map(lambda d: None if d is None else np.asarray(d, float) / 365), guess)
 
     days = F.transform(dates, lambda d: F.datediff(d, F.element_at(dates, 1)).cast("double"))
     return F.pandas_udf(run, "double")(flows.cast("array<double>"), days)

@@ -14,7 +14,8 @@ from tabulon.functions.registry import num
 def vector(compute: Callable, *args) -> Column:
     """``compute``, value by value, over double columns; NaN and infinity come back as null.
 
-    Where one column varies and the others are constant, repeated values of it are computed once per batch.
+    Where one column varies and the others are constant, repeated values of it are computed once per batch; where none
+    varies, one value is.
     """
     import numpy as np
 
@@ -24,6 +25,8 @@ def vector(compute: Callable, *args) -> Column:
         if len(varied) == 1:
             values, back = np.unique(arrays[varied[0]], return_inverse=True)
             arrays = [values if k == varied[0] else a[: len(values)] for k, a in enumerate(arrays)]
+        elif not varied and arrays:
+            arrays, back = [a[:1] for a in arrays], np.zeros(len(arrays[0]), int)
         with np.errstate(all="ignore"):
             out = np.asarray(compute(*arrays), float)[back]
         return pd.Series(np.where(np.isfinite(out), out, np.nan))

@@ -161,3 +161,14 @@ def test_incomplete_gamma_of_large_shapes():
         for x in (700.0, 950.0, 1000.0, 1100.0, 1500.0):
             step = math.exp(a * math.log(x) - x - math.lgamma(a + 1))
             assert math.isclose(special.gammainc(a, x) - special.gammainc(a + 1, x), step, rel_tol=1e-9, abs_tol=1e-14)
+
+
+def test_rates_of_return_of_rows_of_any_length(spark):
+    flows = [[-100.0, 60.0, 60.0], None, [-100.0, 121.0], [-100.0, 0.0, 0.0, 133.1], [5.0, 5.0], [], [-100.0, None, 120.0], [-100.0, 230.0, -132.0], [-100.0, 110.0]]
+    days = [[0, 365, 730], [0, 365], [0, 730], [0, 365, 730, 1095], [0, 365], [], [0, 365, 730], [0, 365, 730], [0, 365, 730]]
+    rows = [(k, v, [datetime.date(2023, 1, 1) + datetime.timedelta(d) for d in ds]) for k, (v, ds) in enumerate(zip(flows, days, strict=True))]
+    df = spark.createDataFrame(rows, "k int, f array<double>, d array<date>").coalesce(1)
+    got = df.select("k", value("IRR", F.col("f")).alias("irr"), value("XIRR", F.col("f"), F.col("d")).alias("xirr")).orderBy("k").collect()
+    two = (60 + math.sqrt(60**2 + 4 * 100 * 60)) / 200 - 1
+    for found, wanted in ((got[k][c], w) for c, ws in ((1, [two, None, 0.21, 0.1, None, None, None, 0.1, 0.1]), (2, [two, None, 0.1, 0.1, None, None, None, 0.1, None])) for k, w in enumerate(ws)):
+        assert found is None and wanted is None or math.isclose(found, wanted, rel_tol=1e-9)
