@@ -172,3 +172,19 @@ def test_rates_of_return_of_rows_of_any_length(spark):
     two = (60 + math.sqrt(60**2 + 4 * 100 * 60)) / 200 - 1
     for found, wanted in ((got[k][c], w) for c, ws in ((1, [two, None, 0.21, 0.1, None, None, None, 0.1, 0.1]), (2, [two, None, 0.1, 0.1, None, None, None, 0.1, None])) for k, w in enumerate(ws)):
         assert found is None and wanted is None or math.isclose(found, wanted, rel_tol=1e-9)
+
+
+def test_roots_take_few_steps():
+    import numpy as np
+
+    calls = []
+
+    def worth(r):
+        calls.append(1)
+        return 101.0 + np.arange(25) - 100 * (1 + r)
+
+    low, high = np.full(25, -0.99), np.full(25, 10.0)
+    assert np.allclose(finance._root(worth, low, high), (1 + np.arange(25)) / 100, rtol=1e-12) and len(calls) < 30
+    for f, root in ((lambda x: x**3, 0.0), (lambda x: np.where(x > 3, np.nan, x - 1.7), 1.7), (lambda x: x - 10, 10.0), (lambda x: np.tanh(50 * (x - 0.3)), 0.3), (lambda x: x + 20, None)):
+        got = finance._root(f, low[:1], np.where(np.isnan(f(high[:1])), 2.9, high[:1]))[0]
+        assert np.isnan(got) if root is None else math.isclose(got, root, rel_tol=1e-12, abs_tol=1e-12)
