@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,47 +78,88 @@ def _peeled(edges: DataFrame) -> DataFrame:
     return edges.join(reads, F.col("to_cell") == F.col("_a"), "left_semi").join(read, F.col("from_cell") == F.col("_b"), "left_semi")
 
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _thinned(now: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of chains (cell, a, b, first, last) parted by a draw: those left, pointing past the cells taken out, and those
+    taken out.
+
+    A cell goes whose draw is above those of both its neighbours, so no two neighbours go; about a third does. The first
+    cell of a chain stays, and who comes last is handed on. Circles shrink to a cell that points at itself.
+    """
+    draw = lambda c: F.xxhash64(F.lit(k), F.col(c))
+    goes = ~F.col("first") & (draw("cell") > draw("a")) & (F.col("last") | (draw("cell") > draw("b")))
+    gone = now.where(goes)
+    up = gone.where("NOT last").select(F.col("b").alias("cell"), F.col("a").alias("a2"))
+    down = gone.select(F.col("a").alias("cell"), F.col("b").alias("b2"), F.col("last").alias("last2"))
+    left = now.where(~goes).join(up, "cell", "left").join(down, "cell", "left")
+    return written(left.select("cell", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "first", F.coalesce("last2", "last").alias("last"))), gone.select("cell", "a", "b")
+
+
+def _contracted(edges: DataFrame, few: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """Edges with each chain of cells of one edge in and one out made a single edge, the chains' cells (cell, a, b) with
-    the two ends of their chain, and the cells of circles that consist of such cells alone.
+    two cells between which they stand, last the ones to be put back first, and the cells of circles that consist of such
+    cells alone.
 
-    Every cell points at the next ones of its chain on both sides, and the reach of the pointers doubles in each round.
-    A round settles more cells as long as a chain is open; what stays open then runs in circles.
+    Cells are first thinned out, which costs a share of the chains that is less in each round, down to a two-hundredth or
+    ``few``. Then every cell points at the next ones of its chain on both sides, and the reach of the pointers doubles in
+    each round. A round settles more cells as long as a chain is open; what stays open then runs in circles.
     """
-    ins = edges.groupBy(F.col("to_cell").alias("cell")).agg(F.min("from_cell").alias("a"), F.count("*").alias("n")).where("n = 1").drop("n")
-    outs = edges.groupBy(F.col("from_cell").alias("cell")).agg(F.min("to_cell").alias("b"), F.count("*").alias("n")).where("n = 1").drop("n")
-    now, before = written(ins.join(outs, "cell")), None
+    out, into = F.lit(None).cast(edges.schema["to_cell"].dataType), F.lit(None).cast(edges.schema["from_cell"].dataType)
+    ends = edges.select(F.col("from_cell").alias("cell"), into.alias("a"), F.col("to_cell").alias("b")).unionByName(edges.select(F.col("to_cell").alias("cell"), F.col("from_cell").alias("a"), out.alias("b")))
+    met = ends.groupBy("cell").agg(F.min("a").alias("a"), F.max("a").alias("a2"), F.min("b").alias("b"), F.max("b").alias("b2"))
+    inner = F.coalesce((F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), F.lit(False))
+    cells = written(met.select("cell", "a", "b", inner.alias("inner")))
+    now, others = cells.where("inner").drop("inner"), written(cells.where("NOT inner").select("cell"))
+    for c in ("from_cell", "to_cell"):
+        edges = edges.join(others.select(F.col("cell").alias(c)), c, "left_semi")
+    for c, name in (("a", "first"), ("b", "last")):
+        now = now.join(others.select(F.col("cell").alias(c), F.lit(True).alias(name)), c, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    now = written(now.select("cell", "a", "b", "first", "last"))
+    # Chains shrunk to one cell are done, and so are circles.
+    whole, loop = F.col("first") & F.col("last"), F.col("cell") == F.col("a")
+    done, circles, steps = [], [], []
+    while True:
+        done, circles, now = [*done, now.where(whole)], [*circles, now.where(loop)], now.where(~whole & ~loop)
+        n = now.count()
+        most = max(n // 200, few) if not steps else most
+        if n <= most:
+            break
+        now, gone = _thinned(now, len(steps))
+        steps.append(gone)
+    now, before = written(now.select("cell", "a", "b")), None
     inner = now.select("cell")
     while (left := now.join(inner.select(F.col("cell").alias("a")), "a", "left_semi").count()) not in (before, 0):
         before = left
         up, down = now.select(F.col("cell").alias("a"), F.col("a").alias("a2")), now.select(F.col("cell").alias("b"), F.col("b").alias("b2"))
         now = written(now.join(up, "a", "left").join(down, "b", "left").select("cell", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")))
     ends = inner.select(F.col("cell").alias("a"))
-    chains = now.join(ends, "a", "left_anti")
-    others = edges.join(inner, F.col("from_cell") == F.col("cell"), "left_anti").join(inner, F.col("to_cell") == F.col("cell"), "left_anti")
-    short = others.unionByName(chains.select(F.col("a").alias("from_cell"), F.col("b").alias("to_cell"))).distinct()
-    return short, chains, now.join(ends, "a", "left_semi").select("cell")
+    chains = reduce(DataFrame.unionByName, (*(d.select("cell", "a", "b") for d in done), now.join(ends, "a", "left_anti")))
+    short = edges.select("from_cell", "to_cell").unionByName(chains.select(F.col("a").alias("from_cell"), F.col("b").alias("to_cell"))).distinct()
+    circles = [c.select("cell") for c in (*circles, now.join(ends, "a", "left_semi"))]
+    return short, [*steps, chains], reduce(DataFrame.unionByName, circles)
 
 
-def unresolved(edges: DataFrame) -> DataFrame:
+def unresolved(edges: DataFrame, few: int = 20_000) -> DataFrame:
     """Cells that take part in a circular reference or stand between two of them.
 
     Edges into cells that read nothing, or out of cells that nothing reads, are taken away until none goes; what is
     left lies on circles or between them. Chains become single edges before each such step, so that the rounds grow
-    with the logarithm of the longest chain and with the depth of branching, and a chain's cells are among the result
-    if both its ends are. Each round is written to the shared folder.
+    with the logarithm of the longest chain and with the depth of branching, and the rows moved with the edges and
+    that depth; a chain's cells are among the result if both their neighbours are. Each round is written to the shared
+    folder. Chains of up to ``few`` cells in all are not thinned out.
     """
-    now = written(edges.select("from_cell", "to_cell").distinct())
+    now = written(edges.select("from_cell", "to_cell").where("from_cell IS NOT NULL AND to_cell IS NOT NULL"))
     before, steps = None, []
     while (left := now.count()) not in (before, 0):
         before = left
-        short, chains, circles = _contracted(now)
+        short, chains, circles = _contracted(now, few)
         steps.append((chains, circles))
-        now = written(_peeled(_peeled(short)))
-    cells = now.select(F.col("from_cell").alias("cell")).unionByName(now.select(F.col("to_cell").alias("cell"))).distinct()
+        now = written(_peeled(_peeled(written(short))))
+    cells = written(now.select(F.col("from_cell").alias("cell")).unionByName(now.select(F.col("to_cell").alias("cell"))).distinct())
     for chains, circles in reversed(steps):
-        between = chains.join(cells.select(F.col("cell").alias("a")), "a", "left_semi").join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
-        cells = written(cells.unionByName(between.select("cell")).unionByName(circles))
+        cells = cells.unionByName(circles)
+        for chain in reversed(chains):
+            between = chain.join(cells.select(F.col("cell").alias("a")), "a", "left_semi").join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
+            cells = cells.unionByName(written(between.select("cell")))
     return cells
 
 

@@ -145,6 +145,29 @@ def test_unresolved_cells_equal_a_plain_search(spark):
         assert len(got) == len(set(got)) and set(got) == _on_or_between_circles(edges)
 
 
+def test_a_long_chain_is_written_a_few_times_only(spark, monkeypatch):
+    import random
+
+    from tabulon.operators import audit
+
+    n, rows, keep = 4000, [], audit.written
+    names = list(range(10, 10 + n))
+    random.Random(3).shuffle(names)
+    edges = [*zip(names, names[1:]), (1, 1), (2, 3), (3, 2), (3, names[0]), (names[2000], 4), (4, 5), (5, 6), (6, 4)]
+
+    def counted(df):
+        out = keep(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(audit, "written", counted)
+    monkeypatch.setattr(audit.unresolved, "__defaults__", (50,))
+    df = spark.createDataFrame([*edges, (None, 7), (7, None)], "from_cell bigint, to_cell bigint")
+    got = [r.cell for r in audit.unresolved(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == _on_or_between_circles(edges) == {1, 2, 3, 4, 5, 6, *names[:2001]}
+    assert sum(rows) < 7 * n
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 def test_asof_spreads_a_hot_group_and_finds_the_nearest(spark, direction):
     import random
