@@ -85,6 +85,20 @@ def nth(df: DataFrame, value: str, k: int, by: list[str], largest: bool = True)
     return v.where((below < k) & (below + F.col("_n") >= k)).select(*by, F.col(value).alias("value"))
 
 
+def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact inclusive percentiles of all rows, in one row: a column for each name; null without values."""
+    v = _values(df.select(F.col(value).cast("double").alias("_x")), "_x", [])
+    found = []
+    for k, share in enumerate(shares.values()):
+        place = F.col("_total").cast("double") - 1
+        for name, rank_ in (("low", F.floor(place * share)), ("high", F.ceil(place * share))):
+            found.append(F.max(F.when((F.col("_below") <= rank_) & (rank_ < F.col("_below") + F.col("_n")), F.col("_x"))).alias(f"_{name}{k}"))
+    ends = v.agg(F.max("_total").alias("_total"), *found)
+    place = lambda share: (F.col("_total").cast("double") - 1) * share
+    between = lambda k, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_low{k}")).otherwise((F.ceil(p) - p) * F.col(f"_low{k}") + (p - F.floor(p)) * F.col(f"_high{k}"))
+    return ends.select(*(between(k, place(share)).alias(name) for k, (name, share) in enumerate(shares.items())))
+
+
 def trim_mean(df: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
     """Mean without the outer ``share``, the same number of rows at both ends; repeated values are cut within."""
     v = _values(df, value, by)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import special as S
 from tabulon.functions.registry import col, function, num
 from tabulon.functions.vector import vector
+from tabulon.operators.ranking import percentiles
 from tabulon.simulation.quantiles import ALT_NAMES, QUANTILES, Columns, array_quantile, solve_percentiles
 
 
@@ -139,9 +140,9 @@ _s("PSIKURTOSIS")(lambda c: (F.count(num(c)) - 1.0) / ((F.count(num(c)) - 2.0) *
 def two_pass(df: DataFrame, output: str, p: float = 0.05) -> DataFrame:
     """Statistics that need the mean or a percentile first: absdev, semivar, semidev and cvar, in one row.
 
-    The first pass is one row, which is sent to all tasks of the second.
+    The first pass is one row, which is sent to all tasks of the second; its percentile is exact and made in ranges.
     """
-    first = df.agg(F.avg(output).alias("_mean"), F.percentile(output, p).alias("_cut"))
+    first = df.agg(F.avg(output).alias("_mean")).join(F.broadcast(percentiles(df, output, {"_cut": p})))
     x = num(output)
     short = F.greatest(F.col("_mean") - x, F.lit(0.0))
     return df.join(F.broadcast(first)).agg(

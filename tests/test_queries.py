@@ -207,3 +207,19 @@ def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
     windows.run_available(counted, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = {r.window_start.hour: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {10: 1, 14: 2, 15: 1, 16: 1}
+
+
+def test_percentiles_of_all_rows_are_made_in_ranges(spark):
+    from tabulon.operators import ranking
+    from tabulon.plans import load
+
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.9, "e": 1.0}
+    df = spark.range(1, 1001).selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE pow(id * 7919 % 1009 % 400, 1.5) END AS x")
+    from pyspark.sql import functions as F
+
+    wanted = df.agg(*(F.percentile("x", p).alias(n) for n, p in shares.items())).first()
+    got = ranking.percentiles(df, "x", shares).first()
+    assert all(math.isclose(got[n], wanted[n], rel_tol=1e-14) for n in shares)
+    assert tuple(ranking.percentiles(df.where("x < 0"), "x", shares).first() or [None]) in ((None,) * 5, (None,))
+    plan = load().QUERIES["run_statistics"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan and "-percentile(" not in plan
