@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import datetime, distributions, engineering, finance, logic, matrix, text  # noqa: F401  they fill the catalogue
 from tabulon.functions.registry import cell, error, value
 from tabulon.plans.registry import query, r, rs, scalars
-from tabulon.sources.tables import table
+from tabulon.sources.tables import spread, table
 
 
 def _lit_list(xs) -> str:
@@ -436,7 +436,7 @@ _PARTS = lambda s: s.replace("@a", _RE).replace("@b", _IM)
     + ", ".join(f"{rs(_PARTS(a), 5)} AS {n.lower()}_re, {rs(_PARTS(b), 5)} AS {n.lower()}_im" for n, (_, a, b) in _COMPLEX.items()) + " FROM supplier",
 )
 def complex_closed(spark, folder):
-    df = table(spark, folder, "supplier").select("s_suppkey", _ZC().alias("z"))
+    df = spread(table(spark, folder, "supplier").select("s_suppkey")).select("s_suppkey", _ZC().alias("z"))
     found = df.select("s_suppkey", "z", *(value(n, F.col("z"), *more).alias(n) for n, (more, _, _) in _COMPLEX.items()))
     z = F.col("z")
     return found.select(

@@ -29,3 +29,8 @@ def cells(df: DataFrame, sheet: str, row: str, columns: list[str]) -> DataFrame:
     return df.select(F.lit(sheet).alias("sheet"), F.col(row).cast("bigint").alias("row"), packed).select(
         "sheet", "row", (F.col("_p") + 1).alias("col"), "value"
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a small file is one task, which is too few for slow work on each row."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -223,3 +223,10 @@ def test_percentiles_of_all_rows_are_made_in_ranges(spark):
     assert tuple(ranking.percentiles(df.where("x < 0"), "x", shares).first() or [None]) in ((None,) * 5, (None,))
     plan = load().QUERIES["run_statistics"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert " percentile(" not in plan and "-percentile(" not in plan
+
+
+def test_complex_numbers_are_worked_on_by_all_cores(spark):
+    from tabulon.plans import load
+
+    df = load().QUERIES["complex_closed"](spark, FOLDER)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
