@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,13 @@ def test_roots_take_few_steps():
     for f, root in ((lambda x: x**3, 0.0), (lambda x: np.where(x > 3, np.nan, x - 1.7), 1.7), (lambda x: x - 10, 10.0), (lambda x: np.tanh(50 * (x - 0.3)), 0.3), (lambda x: x + 20, None)):
         got = finance._root(f, low[:1], np.where(np.isnan(f(high[:1])), 2.9, high[:1]))[0]
         assert np.isnan(got) if root is None else math.isclose(got, root, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_plain_numbers_are_no_columns_of_a_batch(spark):
+    from tabulon.functions.vector import vector
+
+    df = spark.createDataFrame([(1.0,), (None,), (1.0,), (-0.0,), (2.0,)], "x double").coalesce(1)
+    made = vector(lambda x, a, b: x * a + b, "x", 10, 0.5)
+    plan = df.select(made.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"run\(x#\d+\)", plan) and [r.y for r in df.select(made.alias("y")).collect()] == [10.5, None, 10.5, 0.5, 20.5]
+    assert [r.y for r in df.select(vector(lambda a: a + 1, 2).alias("y")).collect()] == [3.0] * 5
