@@ -410,34 +410,47 @@ _GRID = np.concatenate((np.linspace(-0.99, 1, 400), np.geomspace(1.01, 100, 100)
 def _irr(values: np.ndarray, times: np.ndarray, guess: float) -> np.ndarray:
     """For rows of flows and their times: the root of the present value nearest the guess, among sign changes on the grid.
 
-    Rows of the same times share the powers of the grid.
+    Rows of the same times share the powers of the grid. The rates around the guess come first; rows without a sign change
+    there go through the whole grid. The roots of all rows are closed in together.
     """
-    out = np.full(len(values), np.nan)
+    out, at = np.full(len(values), np.nan), np.full(len(values), -1)
     far = np.abs(_GRID[:-1] - guess)
-    kinds, kind = np.unique(times, axis=0, return_inverse=True)
+    first = int(np.argsort(far, kind="stable")[:64].min())
+    kinds, kind = (times[:1], np.zeros(len(times), int)) if (times == times[:1]).all() else np.unique(times, axis=0, return_inverse=True)
     order = np.argsort(kind.ravel(), kind="stable")
+    mixed = (values > 0).any(1) & (values < 0).any(1)
     with np.errstate(all="ignore"):
         for t, rows in zip(kinds, np.split(order, np.cumsum(np.bincount(kind.ravel()))[:-1]), strict=True):
-            powers = (1 + _GRID)[:, None] ** -t
-            rows = rows[(values[rows] > 0).any(1) & (values[rows] < 0).any(1)]
-            for k in range(0, len(rows), 1000):
-                some = rows[k : k + 1000]
-                sign = np.sign(values[some] @ powers.T)
-                changes = sign[:, 1:] * sign[:, :-1] <= 0
-                some, changes = some[changes.any(1)], changes[changes.any(1)]
-                at = np.where(changes, far, np.inf).argmin(1)
-                v = values[some]
-                out[some] = _root(lambda r, v=v, t=t: (v * (1 + r)[:, None] ** -t).sum(1), _GRID[at], _GRID[at + 1])
+            rows = rows[mixed[rows]]
+            for low, high in ((first, first + 65), (0, len(_GRID))):
+                rows = rows[at[rows] < 0]
+                if not len(rows):
+                    break
+                powers = (1 + _GRID[low:high]) ** -t[:, None]
+                for k in range(0, len(rows), 1000):
+                    some = rows[k : k + 1000]
+                    sign = np.sign(values[some] @ powers)
+                    changes = sign[:, 1:] * sign[:, :-1] <= 0
+                    nearest = np.where(changes, far[low : high - 1], np.inf).argmin(1) + low
+                    at[some] = np.where(changes.any(1), nearest, -1)
+        found = np.flatnonzero(at >= 0)
+        for k in range(0, len(found), 1000):
+            some = found[k : k + 1000]
+            v, t, low = values[some], times[some], at[some]
+            out[some] = _root(lambda r, v=v, t=t: (v * (1 + r)[:, None] ** -t).sum(1), _GRID[low], _GRID[low + 1])
     return out
 
 
-def _irr_of(rows: pd.Series, times: pd.Series, guess: float) -> pd.Series:
-    """Rows go by their number of flows; none where flows or times are missing or not equally many."""
+def _irr_of(rows: pd.Series, days: pd.Series | None, guess: float) -> pd.Series:
+    """Rows go by their number of flows; none where flows or days are missing or not equally many. Without days, flows are
+    a period apart."""
     out = np.full(len(rows), np.nan)
-    sizes = np.array([-1 if v is None or t is None or len(v) != len(t) else len(v) for v, t in zip(rows, times, strict=True)], int)
-    for n in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == n)
-        out[at] = _irr(*(np.stack(x.iloc[at].tolist()).astype(float) for x in (rows, times)), guess)
+    sizes, others = (np.array([-1 if v is None else len(v) for v in x], int) for x in (rows, rows if days is None else days))
+    for n in np.unique(sizes[(sizes > 0) & (sizes == others)]):
+        at = np.flatnonzero((sizes == n) & (others == n))
+        flows = np.concatenate(rows.iloc[at].tolist()).astype(float).reshape(-1, n)
+        times = np.broadcast_to(np.arange(float(n)), flows.shape) if days is None else np.concatenate(days.iloc[at].tolist()).astype(float).reshape(-1, n) / 365
+        out[at] = _irr(flows, times, guess)
     return pd.Series(out)
 
 
@@ -447,7 +460,7 @@ _mixed_signs = (lambda flows, *_: ~(F.exists(flows, lambda v: v > 0) & F.exists(
 @_f("IRR", _mixed_signs)
 def irr(flows: Column, guess: float = 0.1) -> Column:
     def run(rows: pd.Series) -> pd.Series:
-        return _irr_of(rows, rows.map(lambda v: None if v is None else np.arange(float(len(v)))), guess)
+        return _irr_of(rows, None, guess)
 
     return F.pandas_udf(run, "double")(flows.cast("array<double>"))
 
@@ -455,7 +468,7 @@ def irr(flows: Column, guess: float = 0.1) -> Column:
 @_f("XIRR", _mixed_signs)
 def xirr(flows: Column, dates: Column, guess: float = 0.1) -> Column:
     def run(rows: pd.Series, days: pd.Series) -> pd.Series:
-        return _irr_of(rows, days.map(lambda d: None if d is None else np.asarray(d, float) / 365), guess)
+        return _irr_of(rows, days, guess)
 
     days = F.transform(dates, lambda d: F.datediff(d, F.element_at(dates, 1)).cast("double"))
     return F.pandas_udf(run, "double")(flows.cast("array<double>"), days)

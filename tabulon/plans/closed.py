@@ -476,6 +476,7 @@ scalars(
         "rate_": (lambda: r(value("RATE", 1, 0.0, -100.0, F.col("c_nationkey") + 101.0), 6), rs("(c_nationkey + 1) / 100.0", 6)),
         "xnpv_": (lambda: r(value("XNPV", 0.1, _FLOW(), _DAYS()), 6), rs("-100 + (c_nationkey + 101) / power(1.1, 730 / 365.0)", 6)),
     },
+    slow=True,
 )
 
 _A, _B = lambda: F.col("o_orderdate"), lambda: F.lit("2030-06-15").cast("date")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import finance
 from tabulon.functions.registry import value
 from tabulon.plans.registry import query, r, rs, scalars
-from tabulon.sources.tables import table
+from tabulon.sources.tables import spread, table
 
 _RATE, _N, _PV = "(0.02 + c_nationkey / 1000)", "(12 + c_custkey % 48)", "(10000 + c_acctbal)"
 
@@ -163,7 +163,8 @@ def rates_of_return(spark, folder):
     """IRR, XIRR and RATE, each with the present value at the rate found, which is near zero."""
     flows = F.array(-F.col("c_acctbal") - 20000, F.lit(8000.0), F.lit(9000.0), F.col("c_nationkey") + 10000.0)
     days = F.array(*(F.lit(d).cast("date") for d in ("2024-01-01", "2024-07-01", "2025-01-01", "2026-01-01")))
-    df = table(spark, folder, "customer").where("c_acctbal > -19000").select("c_custkey", flows.alias("f"), days.alias("d"))
+    rows = table(spark, folder, "customer").where("c_acctbal > -19000").select("c_custkey", "c_acctbal", "c_nationkey")
+    df = spread(rows, 10_000).select("c_custkey", flows.alias("f"), days.alias("d"))
     out = df.select("c_custkey", "f", "d", value("IRR", F.col("f")).alias("irr"), value("XIRR", F.col("f"), F.col("d")).alias("xirr"), value("RATE", 36, -300.0, 9000.0).alias("rate"))
     return out.select("c_custkey", "irr", "xirr", "rate", value("NPV", F.col("irr"), F.col("f")).alias("npv_at_irr"), value("XNPV", F.col("xirr"), F.col("f"), F.col("d")).alias("xnpv_at_xirr"))
 

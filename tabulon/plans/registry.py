@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.sources.tables import table
+from tabulon.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,11 +70,12 @@ def rs(sql: str, digits: int = 4) -> str:
     return f"floor(({sql}) * {10.0**digits} + 0.5) / {10.0**digits}"
 
 
-def scalars(name: str, source: str, key: list[str], exprs: dict[str, tuple[Callable[[], Column], str | None]], where: str | None = None) -> None:
-    """A query of row-wise expressions: {alias: (column, SQL)}; without any SQL it has no oracle."""
+def scalars(name: str, source: str, key: list[str], exprs: dict[str, tuple[Callable[[], Column], str | None]], where: str | None = None, slow: bool = False) -> None:
+    """A query of row-wise expressions: {alias: (column, SQL)}; without any SQL it has no oracle. Slow ones get their rows over all cores."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         df = table(spark, folder, source)
+        df = spread(df, 10_000) if slow else df
         return (df.where(where) if where else df).select(*key, *(make().alias(a) for a, (make, _) in exprs.items()))
 
     sql = None

@@ -31,6 +31,10 @@ def cells(df: DataFrame, sheet: str, row: str, columns: list[str]) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores: a small file is one task, which is too few for slow work on each row."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def spread(df: DataFrame, rows: int = 0) -> DataFrame:
+    """``df`` over all cores: a small file is one task, which is too few for slow work on each row.
+
+    With ``rows``, a task gets so many at least; counting them reads no column of a Parquet file.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(tasks, df.count() // rows + 1) if rows else tasks)

@@ -191,6 +191,19 @@ def test_roots_take_few_steps():
         assert np.isnan(got) if root is None else math.isclose(got, root, rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_rates_of_rows_with_times_of_their_own_are_searched_together(monkeypatch):
+    import numpy as np
+
+    calls, root = [], finance._root
+    monkeypatch.setattr(finance, "_root", lambda *a: calls.append(1) or root(*a))
+    rates, years = np.concatenate((np.linspace(-0.9, 0.9, 300), np.linspace(2, 90, 100))), 0.5 + np.arange(400) / 365
+    got = finance._irr(np.stack((np.full(400, -100.0), 100 * (1 + rates) ** years), axis=1), np.stack((np.zeros(400), years), axis=1), 0.1)
+    assert np.allclose(got, rates, rtol=1e-9) and len(calls) == 1
+    # Of two rates the one nearer to the guess, also where neither is near it.
+    two, periods = np.array([[-100.0, 230.0, -132.0], [-1.0, 10.0, -21.0]]), np.tile(np.arange(3.0), (2, 1))
+    assert np.allclose(finance._irr(two, periods, 0.12), [0.1, 2.0]) and np.allclose(finance._irr(two, periods, 50.0), [0.2, 6.0])
+
+
 def test_plain_numbers_are_no_columns_of_a_batch(spark):
     from tabulon.functions.vector import vector
 

@@ -230,3 +230,13 @@ def test_complex_numbers_are_worked_on_by_all_cores(spark):
 
     df = load().QUERIES["complex_closed"](spark, FOLDER)
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["returns_closed", "rates_of_return"])
+def test_rates_of_a_small_file_are_found_by_more_than_one_task(spark, tmp_path, name):
+    from tabulon.plans import load
+
+    rows = spark.range(25_000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "CAST(id % 1000 AS DOUBLE) AS c_acctbal")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = load().QUERIES[name](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 3 and df.count() == df.select("c_custkey").distinct().count() == 25_000
